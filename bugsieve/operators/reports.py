@@ -101,14 +101,27 @@ def truncated(df: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are costly and used several times, each computed once per row.
+
+    Without this, a filter on such a column is pushed below it and computes it again, and
+    every later use inlines it once more.  Values that come out of a generator are not
+    inlined.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def with_titles_and_sections(df: DataFrame, strict: bool = False) -> DataFrame:
     description = F.col("raw_description")
     given = F.col("title") if "title" in df.columns else F.lit(None).cast("string")
-    return df.withColumns(
+    return evaluate_once(
+        df,
         {
             "title": tx.title_or_extracted(given, description, strict),
             **tx.extract_sections(description, strict),
-        }
+        },
     )
 
 
@@ -119,7 +132,7 @@ def with_combined_text(df: DataFrame) -> DataFrame:
 
 def with_tokens(df: DataFrame, text: str = "combined_text") -> DataFrame:
     """Lemmatized tokens and the normalised text they make."""
-    return df.withColumn("tokens", tx.lemmatized_tokens(F.col(text))).withColumn(
+    return evaluate_once(df, {"tokens": tx.lemmatized_tokens(F.col(text))}).withColumn(
         "normalized_text", F.coalesce(F.array_join("tokens", " "), F.lit(""))
     )
 

@@ -78,7 +78,7 @@ def read_csv_reports(spark: SparkSession, path: str, schema: T.StructType) -> Da
 def tracker_files(spark: SparkSession, root: str, glob: str = "*_bugs.csv") -> DataFrame:
     """The tracker exports below ``root`` with their header line, read in parallel.
 
-    Only each file's first line is kept: one row per file.
+    Only each file's first line is kept: one row per file, and a few header layouts.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
@@ -95,13 +95,13 @@ def tracker_files(spark: SparkSession, root: str, glob: str = "*_bugs.csv") -> D
     )
 
 
-def read_tracker_exports(spark: SparkSession, root: str) -> DataFrame:
+def read_tracker_exports(spark: SparkSession, root: str, glob: str = "*_bugs.csv") -> DataFrame:
     """All ``*_bugs.csv`` files below ``root``, unified.
 
     Files are grouped by header layout and each layout is one scan.  Layouts without a
     ``Description`` column are skipped; unreadable rows are dropped, not fatal.
     """
-    layouts = tracker_files(spark, root).groupBy("header").agg(F.collect_list("file").alias("files"))
+    layouts = tracker_files(spark, root, glob).groupBy("header").agg(F.collect_list("file").alias("files"))
     out = None
     for layout in layouts.orderBy("header").toLocalIterator():
         columns = [c.strip().strip('"') for c in (layout["header"] or "").split(",")]
