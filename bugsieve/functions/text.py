@@ -6,6 +6,8 @@ is one projection over the scan: no shuffle, no Python worker.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,21 +124,44 @@ def normalize(text: Column) -> Column:
     return F.coalesce(F.array_join(lemmatized_tokens(text), " "), F.lit(""))
 
 
-def extract_section(description: Column, section: str, strict: bool = False) -> Column:
+def folded(text: Column) -> Column:
+    """Text folded so that plain substring tests cover case-insensitive matches."""
+    return F.lower(F.upper(text))
+
+
+def _probe_words(pattern: str) -> list[str]:
+    """The literal word each alternative of a header pattern starts with."""
+    return re.findall(r"(?:^|\|)([a-z]+)", re.sub(r"\(\?:.*?\)", "", pattern))
+
+
+def extract_section(
+    description: Column, section: str, strict: bool = False, probe: Column | None = None
+) -> Column:
     """Body of one section: text after the first header pattern, in list order, that
-    occurs, up to the next header-like line; stripped, at most 500 characters."""
-    patterns = fv.SECTION_PATTERNS[section]
-    if strict:
-        patterns = [rf"\b(?:{p})\b[:\-\s]*" for p in patterns]
-    bodies = [F.get(F.split(description, f"(?iU)(?:{p})", 2), F.lit(1)) for p in patterns]
-    rest = F.coalesce(*bodies)
-    body = F.get(F.split(rest, "(?iU)" + fv.NEXT_HEADER, 2), F.lit(0))
+    occurs, up to the next header-like line; stripped, at most 500 characters.
+
+    ``probe`` is the folded description; most texts hold no header word at all, and a
+    substring test on it spares them the pattern.
+    """
+    bodies = []
+    for p in fv.SECTION_PATTERNS[section]:
+        header = rf"\b(?:{p})\b[:\-\s]*" if strict else f"(?:{p})"
+        body = F.get(F.split(description, f"(?iU){header}", 2), F.lit(1))
+        if probe is not None:
+            hit = F.lit(False)
+            for word in _probe_words(p):
+                hit = hit | probe.contains(word)
+            body = F.when(hit, body)
+        bodies.append(body)
+    body = F.get(F.split(F.coalesce(*bodies), "(?iU)" + fv.NEXT_HEADER, 2), F.lit(0))
     return F.coalesce(first_chars(strip(body), 500), F.lit(""))
 
 
-def extract_sections(description: Column, strict: bool = False) -> dict[str, Column]:
+def extract_sections(
+    description: Column, strict: bool = False, probe: Column | None = None
+) -> dict[str, Column]:
     """One column per section, keyed by the section's name."""
-    return {s: extract_section(description, s, strict) for s in fv.SECTION_PATTERNS}
+    return {s: extract_section(description, s, strict, probe) for s in fv.SECTION_PATTERNS}
 
 
 def sentences(text: Column, min_chars: int) -> Column:

@@ -22,10 +22,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bugsieve.operators import kernels as kn
 
@@ -44,6 +45,8 @@ def pivots(corpus: DataFrame, n_rows: int, block_rows: int = BLOCK_ROWS) -> np.n
     rows = (
         corpus.select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(n).collect()
     )
+    if not rows:
+        return np.zeros((0, 1))
     return np.unique(np.array([r[0] for r in rows], dtype=np.float64), axis=0)
 
 
@@ -52,29 +55,31 @@ def _pivot_cells(df: DataFrame, p: np.ndarray, radius: float, visit: bool) -> Da
     shared = df.sparkSession.sparkContext.broadcast(p)
     schema = T.StructType([T.StructField("cell", T.LongType()), *df.schema.fields])
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         norms = (p * p).sum(1)
         between = np.sqrt(np.maximum(norms[:, None] + norms - 2 * (p @ p.T), 0))
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 x = kn.to_matrix(part["vector"])
                 d2 = np.maximum((x * x).sum(1)[:, None] + norms - 2 * (x @ p.T), 0)
                 home = d2.argmin(1)
-                if not visit:
-                    yield part.assign(cell=home.astype(np.int64))[schema.names]
-                    continue
-                gap = d2 - d2[np.arange(len(x)), home][:, None]
-                row, cell = np.nonzero(gap <= 2 * between[home] * (radius + _SLACK))
-                yield part.iloc[row].assign(cell=cell.astype(np.int64))[schema.names]
+                row, cell = np.arange(len(x)), home
+                if visit:
+                    gap = d2 - d2[row, home][:, None]
+                    row, cell = np.nonzero(gap <= 2 * between[home] * (radius + _SLACK))
+                placed = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.astype(np.int64)), *placed.columns], names=schema.names
+                )
 
-    return df.mapInPandas(assign, schema)
+    return df.mapInArrow(assign, schema)
 
 
 def _prefix_cells(df: DataFrame, min_score: float) -> DataFrame:
-    """One row per prefix term.  Term numbers must be ordered most frequent first, so the
-    rarest terms of a row are its highest numbers."""
+    """One row per prefix term.  Term numbers must be ordered most frequent first and be
+    ascending within a row, so the rarest terms of a row are its last."""
     order = F.reverse(
         F.array_sort(F.arrays_zip(F.col("vector.indices").alias("i"), F.col("vector.values").alias("w")))
     )
@@ -94,87 +99,118 @@ def _prefix_cells(df: DataFrame, min_score: float) -> DataFrame:
         )
 
     cells = F.aggregate(order, start, step)["cells"]
-    return df.withColumn("cell", F.explode(cells)).select("cell", *df.columns)
+    # In the cell of the rarest term two rows share, rarer terms add nothing to their
+    # product, so they stay behind.  Other cells give such a pair at most its score.
+    kept = F.size("vector.indices") - F.col("_at")
+    part = F.struct(
+        F.slice("vector.indices", F.lit(1), kept).alias("indices"),
+        F.slice("vector.values", F.lit(1), kept).alias("values"),
+    )
+    return df.select(F.posexplode(cells).alias("_at", "cell"), *df.columns).select(
+        "cell", *[part.alias(c) if c == "vector" else F.col(c) for c in df.columns]
+    )
 
 
 def cell_rows(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | None,
     min_score: float | None,
     block_rows: int = BLOCK_ROWS,
     n_corpus: int | None = None,
 ) -> DataFrame:
-    """Rows of both sides with their block: ``(cell, c_block, q_block, is_query, ...)``.
+    """Rows of both sides with their block: ``(cell, c_block, q_block, side, ...)``.
 
-    Both inputs have ``id``, ``vector`` and the same further columns.
+    Both inputs have ``id``, ``vector`` and the same further columns; no corpus means that
+    the queries are matched with themselves.  ``side`` is 1 for a query, 2 for a corpus
+    row and 3 for a row that is both.
     """
+    other = queries if corpus is None else corpus
     if min_score is None:
-        q, c = (df.withColumn("cell", F.lit(0).cast("bigint")) for df in (queries, corpus))
-    elif vector_is_sparse(corpus):
+        q, c = (df.withColumn("cell", F.lit(0).cast("bigint")) for df in (queries, other))
+    elif vector_is_sparse(other):
         if min_score <= 0:
             raise ValueError("prefix cells need a positive min_score")
-        q, c = _prefix_cells(queries, min_score), _prefix_cells(corpus, min_score)
+        q, c = _prefix_cells(queries, min_score), _prefix_cells(other, min_score)
     else:
-        p = pivots(corpus, corpus.count() if n_corpus is None else n_corpus, block_rows)
+        p = pivots(other, other.count() if n_corpus is None else n_corpus, block_rows)
+        if not len(p):  # nothing to find; the cells still need a shape
+            p = pivots(queries, 1, block_rows)
         radius = float(np.sqrt(max(2 - 2 * min_score, 0)))
         q = _pivot_cells(queries, p, radius, visit=True)
-        c = _pivot_cells(corpus, p, radius, visit=False)
+        c = _pivot_cells(other, p, radius, visit=False)
+        corpus = other  # a row visits more cells than it lives in
+
+    def blocks(n: str):
+        return F.ceil(F.col(n) / block_rows).cast("int")
+
     # One row per cell: at most MAX_PIVOTS or vocabulary-size rows.
-    sizes = (
-        c.groupBy("cell").agg(F.count("*").alias("nc"))
-        .join(q.groupBy("cell").agg(F.count("*").alias("nq")), "cell")
-        .select(
-            "cell",
-            F.ceil(F.col("nc") / block_rows).cast("int").alias("c_blocks"),
-            F.ceil(F.col("nq") / block_rows).cast("int").alias("q_blocks"),
-        )
+    sizes = c.groupBy("cell").agg(F.count("*").alias("nc"))
+    if corpus is None:
+        sizes = sizes.filter("nc > 1").withColumn("nq", F.col("nc"))
+    else:
+        sizes = sizes.join(q.groupBy("cell").agg(F.count("*").alias("nq")), "cell")
+    sizes = F.broadcast(
+        sizes.select("cell", blocks("nc").alias("c_blocks"), blocks("nq").alias("q_blocks"))
     )
 
-    def blocked(df: DataFrame, own: str, other: str, is_query: bool) -> DataFrame:
+    def placed(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.col(own + "s")).cast("int")
-        others = F.sequence(F.lit(0), F.col(other + "s") - 1)
-        return df.join(F.broadcast(sizes), "cell").select(
-            "cell",
-            block.alias(own),
-            F.explode(others).alias(other),
-            F.lit(is_query).alias("is_query"),
+        opposite = F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1))
+        return df.join(sizes, "cell").select(
+            "cell", block.alias(own), opposite.alias(other), F.lit(side).alias("side"),
             *queries.columns,
         )
 
-    return blocked(q, "q_block", "c_block", True).unionByName(
-        blocked(c, "c_block", "q_block", False)
-    )
+    q_rows = placed(q, "q_block", "c_block", 1)
+    c_rows = placed(c, "c_block", "q_block", 2)
+    if corpus is None:  # on the diagonal one copy of the row serves as both
+        same = F.col("q_block") == F.col("c_block")
+        q_rows = q_rows.withColumn("side", F.when(same, 3).otherwise(1))
+        c_rows = c_rows.filter(~same)
+    return q_rows.unionByName(c_rows)
 
 
-Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+Kernel = Callable[[pa.Table, pa.Table], dict]
 _BLOCK_KEY = ["cell", "c_block", "q_block"]
 
 
-def map_blocks(rows: DataFrame, kernel: Kernel, schema: T.StructType | str) -> DataFrame:
-    """Run ``kernel(query_rows, corpus_rows)`` on every block pair.
+def map_blocks(rows: DataFrame, kernel: Kernel, schema: str | T.StructType) -> DataFrame:
+    """Run ``kernel(query_rows, corpus_rows)`` on every block pair; it returns columns.
 
     Blocks are bounded, so a task holds one block pair at a time: rows arrive sorted by
     block and are cut where the block changes.
     """
     placed = rows.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow_schema = to_arrow_schema(struct)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         held_key = None
 
-        def finish() -> Iterator[pd.DataFrame]:
-            if held:
-                block = pd.concat(held, ignore_index=True)
-                q, c = block[block["is_query"]], block[~block["is_query"]]
-                if len(q) and len(c):
-                    yield kernel(q.reset_index(drop=True), c.reset_index(drop=True))
-
-        for pdf in batches:
-            for key, part in pdf.groupby(_BLOCK_KEY, sort=True):
-                if key != held_key:
+        def finish() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            block = pa.Table.from_batches(held).combine_chunks()
+            side = kn.numbers(block["side"])
+            q, c = (block.filter(pa.array((side & bit) > 0)) for bit in (1, 2))
+            if q.num_rows and c.num_rows:
+                out = kernel(q, c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[f.name]).cast(f.type) for f in arrow_schema], schema=arrow_schema
+                )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([kn.numbers(batch[c]).astype(np.int64) for c in _BLOCK_KEY], axis=1)
+            cuts = np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1
+            for start, end in zip([0, *cuts], [*cuts, len(key)]):
+                here = tuple(key[start])
+                if here != held_key:
                     yield from finish()
-                    held, held_key = [], key
-                held.append(part)
+                    held, held_key = [], here
+                held.append(batch.slice(int(start), int(end - start)))
         yield from finish()
 
-    return placed.mapInPandas(run, schema)
+    return placed.mapInArrow(run, struct)

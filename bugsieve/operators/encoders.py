@@ -99,12 +99,19 @@ def encode_with(
     return docs.mapInPandas(run, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside higher-order functions."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def unit_vector(vector: Column) -> Column:
     """The vector scaled to length 1; a zero vector stays as it is."""
-    squares = F.aggregate(
-        vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
-    )
-    length = F.sqrt(squares)
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length)).otherwise(
-        F.transform(vector, lambda x: x.cast("double"))
-    )
+
+    def scaled(v: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
+        return let(
+            F.sqrt(squares),
+            lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)),
+        )
+
+    return let(F.transform(vector, lambda x: x.cast("double")), scaled)

@@ -25,9 +25,11 @@ def component_labels(edges: DataFrame, group: str = "level") -> DataFrame:
     now = cut_lineage(both.distinct())
     state = _state(now)
     for _ in range(MAX_ROUNDS):
-        if state[0] == 0:
+        n = state[0]
+        if n == 0:
             break
-        now = cut_lineage(_small_star(cut_lineage(_large_star(now, group)), group))
+        hooked = cut_lineage(_large_star(now, group, 2 * n))
+        now = cut_lineage(_small_star(hooked, group, 2 * n))
         after = _state(now)
         if after == state:
             break
@@ -46,23 +48,23 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def _hook(pairs: DataFrame, group: str) -> DataFrame:
-    """Each pair ``(u, v)`` with the smallest node around ``u``, ``u`` included."""
-    pairs = cut_lineage(pairs)
+def _hook(pairs: DataFrame, group: str, n: int) -> DataFrame:
+    """Each pair ``(u, v)`` with the smallest node around ``u``, ``u`` included; ``n`` is
+    at least the number of pairs."""
     least = pairs.groupBy(group, "u").agg(
         F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("size")
     )
-    return join_one_row_per_key(pairs, least, [group, "u"], "size", pairs.count())
+    return join_one_row_per_key(pairs, least, [group, "u"], "size", n)
 
 
-def _large_star(edges: DataFrame, group: str) -> DataFrame:
+def _large_star(edges: DataFrame, group: str, n: int) -> DataFrame:
     flipped = edges.select(group, F.col("v").alias("u"), F.col("u").alias("v"))
-    hooked = _hook(edges.unionByName(flipped), group)
+    hooked = _hook(edges.unionByName(flipped), group, n)
     return hooked.filter("v > u").select(group, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, group: str) -> DataFrame:
-    hooked = _hook(edges, group)  # every edge points from the larger node to the smaller
+def _small_star(edges: DataFrame, group: str, n: int) -> DataFrame:
+    hooked = _hook(edges, group, n)  # every edge points from the larger node to the smaller
     to_least = hooked.select(group, F.col("v").alias("u"), F.col("m").alias("v"))
     own = hooked.select(group, "u", F.col("m").alias("v"))
     return to_least.unionByName(own).filter("u != v").distinct()

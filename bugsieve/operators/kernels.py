@@ -9,62 +9,66 @@ terms must not decide between equal scores.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 SCORE_DECIMALS = 9
 _CHUNK = 2048
 
+Column = pa.Array | pa.ChunkedArray
 
-def is_sparse(vectors: pd.Series) -> bool:
-    return len(vectors) > 0 and not isinstance(vectors.iloc[0], (np.ndarray, list))
 
+def whole(column: Column) -> pa.Array:
+    """The column as one array, without unused parts of a slice."""
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
-def _part(v, name: str, dtype) -> np.ndarray:
-    return np.asarray(v[name], dtype=dtype)
 
+def numbers(column: Column) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
-def used_columns(vectors: pd.Series) -> np.ndarray | None:
+
+def keys(column: Column) -> np.ndarray:
+    """Ids as an array NumPy can sort: integers, or text in code-point order."""
+    out = numbers(column)
+    return out if out.dtype.kind in "iu" else out.astype(str)
+
+
+def is_sparse(vectors: Column) -> bool:
+    return pa.types.is_struct(vectors.type)
+
+
+def _entries(vectors: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, column number and value of every entry of sparse rows."""
+    indices, values = whole(vectors).flatten()
+    row = np.repeat(np.arange(len(indices)), numbers(indices.value_lengths()))
+    return row, numbers(indices.flatten()), numbers(values.flatten())
+
+
+def used_columns(vectors: Column) -> np.ndarray | None:
     """Sorted column numbers that occur in sparse rows; None for dense rows."""
-    if not is_sparse(vectors):
-        return None
-    return np.unique(np.concatenate([_part(v, "indices", np.int64) for v in vectors]))
+    return np.unique(_entries(vectors)[1]) if is_sparse(vectors) else None
 
 
-def to_matrix(vectors: pd.Series, columns: np.ndarray | None = None) -> np.ndarray:
+def to_matrix(vectors: Column, columns: np.ndarray | None = None) -> np.ndarray:
     """Rows as one float64 matrix; sparse rows over the given columns only."""
+    n = len(vectors)
     if not is_sparse(vectors):
-        rows = [np.asarray(v, dtype=np.float64) for v in vectors]
-        return np.vstack(rows) if rows else np.zeros((0, 0))
-    idx = [_part(v, "indices", np.int64) for v in vectors]
-    row = np.repeat(np.arange(len(idx)), [len(i) for i in idx])
-    flat = np.concatenate(idx)
-    val = np.concatenate([_part(v, "values", np.float64) for v in vectors])
-    out = np.zeros((len(idx), max(len(columns), 1)))
+        flat = numbers(whole(vectors).flatten()).astype(np.float64)
+        return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    row, col, val = _entries(vectors)
+    out = np.zeros((n, max(len(columns), 1)))
     if len(columns):
-        at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
-        known = columns[at] == flat
+        at = np.minimum(np.searchsorted(columns, col), len(columns) - 1)
+        known = columns[at] == col
         out[row[known], at[known]] = val[known]
     return out
 
 
-def paired_matrices(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Two row sets over one common set of columns (for sparse rows: those that occur)."""
-    if not (is_sparse(a) or is_sparse(b)):
+def paired_matrices(a: Column, b: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Two row sets over one common set of columns (for sparse rows: those in both)."""
+    if not is_sparse(a):
         return to_matrix(a), to_matrix(b)
-    both = pd.concat([a, b])
-    idx = [_part(v, "indices", np.int64) for v in both]
-    columns, at = np.unique(np.concatenate(idx), return_inverse=True)
-    out = np.zeros((len(both), max(len(columns), 1)))
-    row = np.repeat(np.arange(len(idx)), [len(i) for i in idx])
-    out[row, at] = np.concatenate([_part(v, "values", np.float64) for v in both])
-    return out[: len(a)], out[len(a) :]
-
-
-def as_keys(ids: pd.Series) -> np.ndarray:
-    """Ids as an array NumPy can sort: integers, or fixed-width text in code-point order."""
-    if pd.api.types.is_integer_dtype(ids):
-        return ids.to_numpy()
-    return ids.to_numpy(dtype=str)
+    columns = np.intersect1d(used_columns(a), used_columns(b))
+    return to_matrix(a, columns), to_matrix(b, columns)
 
 
 class RunningTopK:
@@ -76,7 +80,6 @@ class RunningTopK:
     def __init__(self, n_queries: int, k: int, min_score: float | None = None):
         self.k = k
         self.floor = np.full(n_queries, -np.inf if min_score is None else min_score)
-        self.full = np.zeros(n_queries, dtype=bool)
         self.rows: np.ndarray = np.zeros(0, dtype=np.int64)
         self.scores: np.ndarray = np.zeros(0)
         self.ids: np.ndarray | None = None
@@ -90,6 +93,8 @@ class RunningTopK:
             kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
             floor = np.maximum(floor, kth)
         row, col = np.nonzero(scores >= floor[:, None])
+        if not len(row):
+            return
         row_all = np.concatenate([self.rows, row + first])
         score_all = np.concatenate([self.scores, scores[row, col]])
         id_all = ids[col] if self.ids is None else np.concatenate([self.ids, ids[col]])
@@ -103,28 +108,23 @@ class RunningTopK:
         complete = count >= self.k
         self.floor[complete] = np.maximum(self.floor[complete], self.scores[last[complete]])
 
-    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+    def found(self, query_ids: np.ndarray) -> dict[str, np.ndarray]:
         ids = self.ids if self.ids is not None else query_ids[:0]
-        return pd.DataFrame(
-            {"query_id": query_ids[self.rows], "defect_id": ids, "score": self.scores}
-        )
+        return {"query_id": query_ids[self.rows], "defect_id": ids, "score": self.scores}
 
 
 def block_top_k(
-    q_ids: np.ndarray,
-    q: np.ndarray,
-    c_ids: np.ndarray,
-    c: np.ndarray,
-    k: int,
-    min_score: float | None = None,
-) -> pd.DataFrame:
+    q: pa.Table, c: pa.Table, k: int, min_score: float | None = None
+) -> dict[str, np.ndarray]:
     """Best matches of a query block in a corpus block, by chunked matrix products."""
-    best = RunningTopK(len(q), k, min_score)
-    for at in range(0, len(q), _CHUNK):
-        for c_at in range(0, len(c), _CHUNK):
-            scores = q[at : at + _CHUNK] @ c[c_at : c_at + _CHUNK].T
+    x, y = paired_matrices(q["vector"], c["vector"])
+    q_ids, c_ids = keys(q["id"]), keys(c["id"])
+    best = RunningTopK(len(x), k, min_score)
+    for at in range(0, len(x), _CHUNK):
+        for c_at in range(0, len(y), _CHUNK):
+            scores = x[at : at + _CHUNK] @ y[c_at : c_at + _CHUNK].T
             best.add(at, scores, c_ids[c_at : c_at + _CHUNK])
-    return best.frame(q_ids)
+    return best.found(q_ids)
 
 
 def levels_of(distance: np.ndarray, grid: np.ndarray) -> np.ndarray:

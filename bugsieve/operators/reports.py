@@ -116,13 +116,14 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def with_titles_and_sections(df: DataFrame, strict: bool = False) -> DataFrame:
     description = F.col("raw_description")
     given = F.col("title") if "title" in df.columns else F.lit(None).cast("string")
+    probed = evaluate_once(df, {"_probe": tx.folded(description)})
     return evaluate_once(
-        df,
+        probed,
         {
             "title": tx.title_or_extracted(given, description, strict),
-            **tx.extract_sections(description, strict),
+            **tx.extract_sections(description, strict, F.col("_probe")),
         },
-    )
+    ).drop("_probe")
 
 
 def with_combined_text(df: DataFrame) -> DataFrame:

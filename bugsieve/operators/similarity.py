@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bugsieve.functions import fixed_values as fv
 from bugsieve.operators import cells as ce
@@ -44,12 +45,8 @@ def _payload_bytes(df: DataFrame) -> Column:
 
 
 def fits(df: DataFrame, budget: int = BROADCAST_BYTES) -> bool:
-    """Whether all vectors together stay within ``budget`` bytes, measured, not guessed.
-
-    Reading stops early: no more rows than could fit are looked at.
-    """
-    head = df.limit(budget // 64 + 1).agg(F.sum(_payload_bytes(df)).alias("bytes"))
-    return (head.head()["bytes"] or 0) <= budget
+    """Whether all vectors together stay within ``budget`` bytes: measured, not guessed."""
+    return (df.agg(F.sum(_payload_bytes(df)).alias("bytes")).head()["bytes"] or 0) <= budget
 
 
 def _match_schema(query: T.DataType, corpus: T.DataType) -> T.StructType:
@@ -75,18 +72,18 @@ class _SharedSide:
 
     CHUNK = 1024
 
-    def __init__(self, pdf: pd.DataFrame):
-        self.ids, self.vectors = kn.as_keys(pdf["id"]), pdf["vector"]
+    def __init__(self, table: pa.Table):
+        self.ids, self.vectors = kn.keys(table["id"]), kn.whole(table["vector"])
         self.columns = kn.used_columns(self.vectors)
 
-    def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(self.ids), self.CHUNK):
-            part = self.vectors.iloc[at : at + self.CHUNK]
-            yield at, self.ids[at : at + self.CHUNK], kn.to_matrix(part, self.columns)
+            part = self.vectors.slice(at, self.CHUNK)
+            yield self.ids[at : at + self.CHUNK], kn.to_matrix(part, self.columns)
 
 
 def _shared_side(df: DataFrame):
-    return df.sparkSession.sparkContext.broadcast(_SharedSide(df.toPandas()))
+    return df.sparkSession.sparkContext.broadcast(_SharedSide(df.toArrow()))
 
 
 def top_k_matches(
@@ -110,14 +107,14 @@ def top_k_matches(
     """
     q, c = _sided(queries, query_key, vector), _sided(corpus, corpus_key, vector)
     schema = _match_schema(q.schema["id"].dataType, c.schema["id"].dataType)
+    q = cut_lineage(q)  # measured, then used: computed once
     if fits(q, budget):
         return ranked(_scan_corpus(q, c, k, min_score, schema), k)
     if fits(c, budget):
         return _with_local_rank(_scan_queries(q, c, k, min_score, schema))
 
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = kn.paired_matrices(a["vector"], b["vector"])
-        return kn.block_top_k(kn.as_keys(a["id"]), x, kn.as_keys(b["id"]), y, k, min_score)
+    def kernel(a: pa.Table, b: pa.Table) -> dict:
+        return kn.block_top_k(a, b, k, min_score)
 
     types = [f.dataType for f in schema.fields[:2]]
     if types[0] != types[1]:  # blocks hold both sides in one column
@@ -137,40 +134,48 @@ def _distinct_pairs(found: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
+def _as_batch(found: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(found[f.name]).cast(f.type) for f in schema], schema=schema
+    )
+
+
 def _scan_corpus(q, c, k, min_score, schema) -> DataFrame:
-    shared = _shared_side(q)
+    shared, arrow_schema = _shared_side(q), to_arrow_schema(schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        chunks = [(ids, x, kn.RunningTopK(len(ids), k, min_score)) for _, ids, x in own.chunks()]
-        for pdf in batches:
-            for at in range(0, len(pdf), own.CHUNK):
-                part = pdf.iloc[at : at + own.CHUNK]
-                y, ids = kn.to_matrix(part["vector"], own.columns), kn.as_keys(part["id"])
-                for _, x, best in chunks:
-                    best.add(0, x @ y.T, ids)
+        chunks = [(ids, x, kn.RunningTopK(len(ids), k, min_score)) for ids, x in own.chunks()]
+        for part in _pieces(batches, own.CHUNK):
+            y, ids = kn.to_matrix(part["vector"], own.columns), kn.keys(part["id"])
+            for _, x, best in chunks:
+                best.add(0, x @ y.T, ids)
         for q_ids, _, best in chunks:
-            yield best.frame(q_ids)
+            yield _as_batch(best.found(q_ids), arrow_schema)
 
-    return c.mapInPandas(scan, schema)
+    return c.mapInArrow(scan, schema)
 
 
 def _scan_queries(q, c, k, min_score, schema) -> DataFrame:
-    shared = _shared_side(c)
+    shared, arrow_schema = _shared_side(c), to_arrow_schema(schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         chunks = list(own.chunks())
-        for pdf in batches:
-            for at in range(0, len(pdf), own.CHUNK):
-                part = pdf.iloc[at : at + own.CHUNK]
-                x = kn.to_matrix(part["vector"], own.columns)
-                best = kn.RunningTopK(len(part), k, min_score)
-                for _, ids, y in chunks:
-                    best.add(0, x @ y.T, ids)
-                yield best.frame(kn.as_keys(part["id"]))
+        for part in _pieces(batches, own.CHUNK):
+            x = kn.to_matrix(part["vector"], own.columns)
+            best = kn.RunningTopK(len(x), k, min_score)
+            for ids, y in chunks:
+                best.add(0, x @ y.T, ids)
+            yield _as_batch(best.found(kn.keys(part["id"])), arrow_schema)
 
-    return q.mapInPandas(scan, schema)
+    return q.mapInArrow(scan, schema)
 
 
 def _with_local_rank(found: DataFrame) -> DataFrame:
@@ -211,15 +216,23 @@ def near_duplicates(
     )
     reps = groups.select(F.col("rep").alias("id"), "vector")
 
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = kn.paired_matrices(a["vector"], b["vector"])
-        return kn.block_top_k(kn.as_keys(a["id"]), x, kn.as_keys(b["id"]), y, k + 1, min_score)
+    def kernel(a: pa.Table, b: pa.Table) -> dict:
+        return kn.block_top_k(a, b, k + 1, min_score)
 
     id_type = reps.schema["id"].dataType
     found = ce.map_blocks(
-        ce.cell_rows(reps, reps, min_score, block_rows), kernel, _match_schema(id_type, id_type)
+        ce.cell_rows(reps, None, min_score, block_rows), kernel, _match_schema(id_type, id_type)
     )
-    best_groups = ranked(_distinct_pairs(found), k + 1).select(
+    # Copies match each other even where no other group shares their cells.
+    entries = "vector.values" if ce.vector_is_sparse(groups) else "vector"
+    squares = F.transform(entries, lambda x: x.cast("double") * x.cast("double"))
+    norm = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
+    copies = groups.filter("n > 1").select(
+        F.col("rep").alias("query_id"),
+        F.col("rep").alias("defect_id"),
+        F.round(norm, kn.SCORE_DECIMALS).alias("score"),
+    ).filter(F.col("score") >= min_score)
+    best_groups = ranked(_distinct_pairs(found.unionByName(copies)), k + 1).select(
         F.col("query_id").alias("rep"), F.col("defect_id").alias("other"), "score"
     )
     # At most (k + 1) * (k + 1) candidates per group, cut to the best k + 1.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of the rows
+HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of the rows ...
+ALWAYS_COLD = 100_000  # ... and more rows than this
 
 
 def join_one_row_per_key(
@@ -18,7 +19,9 @@ def join_one_row_per_key(
     of ``left`` are not shuffled at all; all other keys take the ordinary join.
     ``left`` is read twice and should be a stored or checkpointed table.
     """
-    limit = max(n_left // HOT_SHARE, 100_000)
+    if n_left <= ALWAYS_COLD:
+        return left.join(right.drop(size), key)
+    limit = max(n_left // HOT_SHARE, ALWAYS_COLD)
     hot = right.filter(F.col(size) > limit).drop(size)
     cold = right.filter(F.col(size) <= limit).drop(size)
     hot_keys = hot.select(*key)

@@ -92,10 +92,8 @@ def t5(spark, sf):
     S.with_records("SELECT defect_id, steps, expected, actual, environment, logs FROM sectioned"),
 )
 def t6(spark, sf):
-    r = tb.raw_reports(spark, sf)
-    return r.select(
-        "defect_id", *[c.alias(s) for s, c in tx.extract_sections(F.col("raw_description")).items()]
-    )
+    r = with_titles_and_sections(tb.raw_reports(spark, sf))
+    return r.select("defect_id", *fv.SECTION_PATTERNS)
 
 
 @query(
