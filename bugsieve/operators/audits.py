@@ -4,6 +4,7 @@ rows or of plain counts."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bugsieve.functions import fixed_values as fv
@@ -46,7 +47,7 @@ def split_metadata(df: DataFrame) -> DataFrame:
     """Size and ratio of every split and its severity counts, in long form."""
     by_severity = severity_distribution(df, "split")
     sizes = by_severity.groupBy("split").agg(F.sum("n").cast("bigint").alias("n"))
-    total = sizes.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(W.partitionBy())  # over one row per split
     ratios = sizes.select(
         "split", F.lit("ratio").alias("metric"), F.round(F.col("n") / total, 4).alias("value")
     )

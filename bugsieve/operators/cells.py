@@ -111,6 +111,29 @@ def _prefix_cells(df: DataFrame, min_score: float) -> DataFrame:
     )
 
 
+def hash_cells(df: DataFrame, planes: np.ndarray, tables: int) -> DataFrame:
+    """One row per hash table: the bucket named by the signs of products with the planes."""
+    shared = df.sparkSession.sparkContext.broadcast(planes)
+    schema = T.StructType([T.StructField("cell", T.LongType()), *df.schema.fields])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = shared.value
+        bits = len(planes) // tables
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signs = kn.to_matrix(batch["vector"]) @ planes.T > 0
+            codes = signs.reshape(-1, tables, bits) @ powers
+            codes += np.arange(tables, dtype=np.int64) << bits
+            placed = batch.take(pa.array(np.repeat(np.arange(len(codes)), tables)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes.ravel()), *placed.columns], names=schema.names
+            )
+
+    return df.mapInArrow(assign, schema)
+
+
 def cell_rows(
     queries: DataFrame,
     corpus: DataFrame | None,
@@ -140,10 +163,18 @@ def cell_rows(
         c = _pivot_cells(other, p, radius, visit=False)
         corpus = other  # a row visits more cells than it lives in
 
+    return block_rows_of(q, c if corpus is not None else None, block_rows)
+
+
+def block_rows_of(q: DataFrame, c: DataFrame | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows that already have a ``cell``, with their blocks; see :func:`cell_rows`."""
+    corpus, columns = c, [name for name in q.columns if name != "cell"]
+    c = q if c is None else c
+
     def blocks(n: str):
         return F.ceil(F.col(n) / block_rows).cast("int")
 
-    # One row per cell: at most MAX_PIVOTS or vocabulary-size rows.
+    # One row per cell: pivots, vocabulary terms and hash buckets all have a bounded number.
     sizes = c.groupBy("cell").agg(F.count("*").alias("nc"))
     if corpus is None:
         sizes = sizes.filter("nc > 1").withColumn("nq", F.col("nc"))
@@ -158,7 +189,7 @@ def cell_rows(
         opposite = F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1))
         return df.join(sizes, "cell").select(
             "cell", block.alias(own), opposite.alias(other), F.lit(side).alias("side"),
-            *queries.columns,
+            *columns,
         )
 
     q_rows = placed(q, "q_block", "c_block", 1)

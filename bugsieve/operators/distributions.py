@@ -69,13 +69,15 @@ def top_clusters(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def with_shares(counts: DataFrame, n: str = "n") -> DataFrame:
-    """Whole-percent share of the total and of the largest group."""
-    total = counts.agg(F.sum(n)).scalar()
-    largest = counts.agg(F.max(n)).scalar()
+    """Whole-percent share of the total and of the largest group.
+
+    The window spans one row per group, the result of an aggregation, not the reports.
+    """
+    everything = W.partitionBy()
     return counts.withColumns(
         {
-            "pct_of_total": F.floor(F.col(n) * 100 / total + 0.5).cast("bigint"),
-            "pct_of_max": F.floor(F.col(n) * 100 / largest + 0.5).cast("bigint"),
+            "pct_of_total": F.floor(F.col(n) * 100 / F.sum(n).over(everything) + 0.5).cast("bigint"),
+            "pct_of_max": F.floor(F.col(n) * 100 / F.max(n).over(everything) + 0.5).cast("bigint"),
         }
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -159,7 +159,14 @@ def _scan_corpus(q, c, k, min_score, schema) -> DataFrame:
         for q_ids, _, best in chunks:
             yield _as_batch(best.found(q_ids), arrow_schema)
 
-    return c.mapInArrow(scan, schema)
+    return _few_tasks(c).mapInArrow(scan, schema)
+
+
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """Each task of a scan emits k rows per query, so a table with very many splits is
+    read by several splits per task; nothing is shuffled."""
+    limit = 8 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(limit) if df.rdd.getNumPartitions() > limit else df
 
 
 def _scan_queries(q, c, k, min_score, schema) -> DataFrame:
@@ -185,6 +192,38 @@ def _with_local_rank(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w))
 
 
+def match_profile(
+    queries: DataFrame,
+    corpus: DataFrame,
+    min_score: float,
+    query_key: str = "query_id",
+    corpus_key: str = "defect_id",
+    vector: str = "vector",
+    block_rows: int = ce.BLOCK_ROWS,
+) -> DataFrame:
+    """Similarity join summed up per query: matches of at least ``min_score`` and the best
+    score.  Pairs are counted where they meet and never written out."""
+    q, c = _sided(queries, query_key, vector), _sided(corpus, corpus_key, vector)
+    if ce.vector_is_sparse(c):
+        raise ValueError("a sparse pair can meet twice; use top_k_matches")
+    back = q.schema["id"].dataType
+    q, c = (cut_lineage(df.withColumn("id", F.col("id").cast("string"))) for df in (q, c))
+
+    def kernel(a: pa.Table, b: pa.Table) -> dict:
+        x, y = kn.paired_matrices(a["vector"], b["vector"])
+        scores = np.round(x @ y.T, kn.SCORE_DECIMALS)
+        n, best = (scores >= min_score).sum(axis=1), scores.max(axis=1)
+        hit = n > 0
+        return {"id": kn.keys(a["id"])[hit], "n": n[hit], "best": best[hit]}
+
+    found = ce.map_blocks(
+        ce.cell_rows(q, c, min_score, block_rows), kernel, "id string, n long, best double"
+    )
+    return found.groupBy(F.col("id").cast(back).alias("query_id")).agg(
+        F.sum("n").alias("n"), F.max("best").alias("best")
+    )
+
+
 # --- near duplicates within one corpus -----------------------------------------------
 
 
@@ -203,17 +242,8 @@ def near_duplicates(
     answer is a list of at most ``k + 1`` members, so a group holding a third of all rows
     costs no more per member than any other.
     """
-    rows = cut_lineage(_sided(vectors, key, vector).withColumn("group", F.xxhash64("vector")))
-    # A 64-bit hash only pre-sorts the copies; equality of the vectors decides.
-    groups = rows.groupBy("group", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    groups = cut_lineage(groups)
-    members = cut_lineage(_members(rows, groups))
-
-    first = W.partitionBy("rep").orderBy("id")
-    heads = (
-        members.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= k + 1)
-        .select("rep", F.col("id").alias("defect_id"))
-    )
+    groups, members = _collapse(vectors, key, vector)
+    heads = _heads(members, k + 1)
     reps = groups.select(F.col("rep").alias("id"), "vector")
 
     def kernel(a: pa.Table, b: pa.Table) -> dict:
@@ -254,6 +284,24 @@ def near_duplicates(
     )
 
 
+def _collapse(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors ``(group, vector, rep, n)`` and the members ``(id, rep)`` of each."""
+    rows = cut_lineage(_sided(vectors, key, vector).withColumn("group", F.xxhash64("vector")))
+    # A 64-bit hash only pre-sorts the copies; equality of the vectors decides.
+    groups = rows.groupBy("group", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    groups = cut_lineage(groups)
+    return groups, cut_lineage(_members(rows, groups))
+
+
+def _heads(members: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` members of each group; every map task sends at most ``n`` of one."""
+    first = W.partitionBy("rep").orderBy("id")
+    return (
+        members.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= n)
+        .select("rep", F.col("id").alias("defect_id"))
+    )
+
+
 def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Each row with its group's representative."""
     single = groups.filter("n = 1").select(F.col("rep").alias("id"), "rep")
@@ -268,37 +316,49 @@ def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def lsh_top_k(
     queries: DataFrame,
     corpus: DataFrame,
-    min_score: float = fv.POSSIBLE_DUPLICATE_THRESHOLD,
+    min_score: float | None = fv.POSSIBLE_DUPLICATE_THRESHOLD,
     k: int = fv.TOP_MATCHES,
-    tables: int = 8,
-    bucket: float = 2.0,
+    tables: int = 16,
+    bits: int | None = None,
     seed: int = 42,
     query_key: str = "query_id",
     corpus_key: str = "defect_id",
     vector: str = "vector",
+    block_rows: int = ce.BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate top-k by random-projection hashing; scores are exact for what is found.
+    """Approximate top-k of dense vectors by random hyperplanes; the scores found are exact.
 
-    On unit vectors squared distance is ``2 - 2 * score``.
+    A vector falls into one bucket per table, named by the signs of its products with
+    ``bits`` random directions.  Only vectors that share a bucket are compared.  Copies are
+    one row, and buckets are cut into bounded blocks, so a bucket with a third of all rows
+    is spread over many tasks and still sends at most k rows per query and block.
     """
-    def as_ml(df: DataFrame, key: str) -> DataFrame:
-        return df.select(
-            F.col(key).alias("id"),
-            array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"),
-        )
-
-    q, c = as_ml(queries, query_key), as_ml(corpus, corpus_key)
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(c)
-    radius = float((2 - 2 * min_score) ** 0.5)
-    pairs = model.approxSimilarityJoin(q, c, radius, distCol="d")
-    found = pairs.select(
-        F.col("datasetA.id").alias("query_id"),
-        F.col("datasetB.id").alias("defect_id"),
-        F.round(1 - F.col("d") * F.col("d") / 2, kn.SCORE_DECIMALS).alias("score"),
+    groups, members = _collapse(corpus, corpus_key, vector)
+    q = cut_lineage(_sided(queries, query_key, vector))
+    c = groups.select(F.col("rep").alias("id"), "vector")
+    n = groups.count()
+    if bits is None:
+        bits = max(1, int(np.ceil(np.log2(max(n, 2) / block_rows))) + 2)
+    dim = c.select(F.size("vector").alias("d")).limit(1).head()
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, dim["d"] if dim else 1))
+    schema = _match_schema(q.schema["id"].dataType, c.schema["id"].dataType)
+    id_type = T.StringType() if schema[0].dataType != schema[1].dataType else schema[0].dataType
+    q, c = (df.withColumn("id", F.col("id").cast(id_type)) for df in (q, c))
+
+    def kernel(a: pa.Table, b: pa.Table) -> dict:
+        return kn.block_top_k(a, b, k, min_score)
+
+    rows = ce.block_rows_of(
+        ce.hash_cells(q, planes, tables), ce.hash_cells(c, planes, tables), block_rows
+    )
+    found = ce.map_blocks(rows, kernel, _match_schema(id_type, id_type)).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+    best = ranked(_distinct_pairs(found), k).select(
+        "query_id", F.col("defect_id").alias("rep"), "score"
     )
-    return ranked(found, k)
+    expanded = best.join(_heads(members, k), "rep").select("query_id", "defect_id", "score")
+    return ranked(expanded, k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

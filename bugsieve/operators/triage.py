@@ -12,6 +12,8 @@ from bugsieve.functions import fixed_values as fv
 from bugsieve.functions import text as tx
 from bugsieve.operators.encoders import TfIdfEncoder
 from bugsieve.operators.similarity import near_duplicates, top_k_matches
+from bugsieve.operators.skew import ALWAYS_COLD, join_one_row_per_key
+from bugsieve.session import cut_lineage
 
 QUERY_FIELDS = ("title", "description", "steps", "expected", "actual", "environment", "logs")
 
@@ -57,8 +59,19 @@ def decide_matches(
 
 
 def attach(matches: DataFrame, records: DataFrame, *columns: str) -> DataFrame:
-    """Columns of the matched records, joined by id."""
-    return matches.join(records.select("defect_id", *columns), "defect_id")
+    """Columns of the matched records, joined by id.
+
+    Matches are stored first: several results are derived from them.  A modest number of
+    them is sent to the records, which then are scanned in place; otherwise a record that
+    very many queries match is joined apart from the rest.
+    """
+    stored = cut_lineage(matches)
+    n = stored.count()
+    wanted = records.select("defect_id", *columns)
+    if n <= ALWAYS_COLD:
+        return wanted.join(F.broadcast(stored), "defect_id")
+    sizes = stored.groupBy("defect_id").agg(F.count("*").alias("_n"))
+    return join_one_row_per_key(stored, wanted.join(sizes, "defect_id"), ["defect_id"], "_n", n)
 
 
 def new_links(analysed: DataFrame) -> DataFrame:

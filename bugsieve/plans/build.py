@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from bugsieve.functions import fixed_values as fv
 from bugsieve.operators import reports as rp
 from bugsieve.operators.clustering import kmeans_labels, relabel
-from bugsieve.operators.distributions import cluster_sizes, severity_distribution
 from bugsieve.operators.encoders import TfIdfEncoder
 from bugsieve.sources import readers, writers
 
@@ -49,20 +48,24 @@ def stored_form(described: DataFrame, cluster: str = "cluster_id") -> DataFrame:
 
 def corpus_statistics(records: DataFrame, dimension: int) -> DataFrame:
     """Totals and distributions as ``(metric, key, value)`` rows."""
-    real = records.filter("cluster_id != -1")
+    cells = records.groupBy("cluster_id", F.coalesce("severity", F.lit("unknown")).alias("severity")).agg(
+        F.count("*").alias("n")
+    )  # the only pass over the records; what follows sums a handful of rows
+    noise = F.col("cluster_id") == -1
+
+    def total(value, metric: str) -> DataFrame:
+        return writers.as_stat(cells.agg(value.alias("n")), metric, None, "n")
+
+    def by(key: str, rows: DataFrame, metric: str) -> DataFrame:
+        return writers.as_stat(rows.groupBy(key).agg(F.sum("n").alias("n")), metric, key, "n")
+
     return writers.stats_rows(
-        writers.as_stat(records.agg(F.count("*").alias("n")), "total_records", None, "n"),
-        writers.as_stat(
-            real.agg(F.countDistinct("cluster_id").alias("n")), "total_clusters", None, "n"
-        ),
-        writers.as_stat(
-            records.agg(F.count_if(F.col("cluster_id") == -1).alias("n")), "noise_points", None, "n"
-        ),
-        writers.as_stat(cluster_sizes(real), "cluster_distribution", "cluster_id", "n"),
-        writers.as_stat(
-            records.agg(F.lit(dimension).alias("n")), "embedding_dimension", None, "n"
-        ),
-        writers.as_stat(severity_distribution(records), "severity_distribution", "severity", "n"),
+        total(F.sum("n"), "total_records"),
+        total(F.countDistinct(F.when(~noise, F.col("cluster_id"))), "total_clusters"),
+        total(F.coalesce(F.sum(F.when(noise, F.col("n"))), F.lit(0)), "noise_points"),
+        by("cluster_id", cells.filter(~noise), "cluster_distribution"),
+        total(F.lit(dimension), "embedding_dimension"),
+        by("severity", cells, "severity_distribution"),
     )
 
 
