@@ -230,6 +230,7 @@ LEMMA_SUFFIXES = [
     ("us", "us"),
     ("is", "is"),
     ("ies", "y"),
+    ("sses", "ss"),
     ("ches", "ch"),
     ("shes", "sh"),
     ("xes", "x"),

@@ -7,6 +7,7 @@ is one projection over the scan: no shuffle, no Python worker.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,38 @@ from pyspark.sql import functions as F
 from bugsieve.functions import fixed_values as fv
 
 
+# What \s, \d and \w cover in the patterns, in the Unicode sense; Java's own Unicode mode
+# differs for combining marks and for the separators 1c-1f.
+_CLASSES = {
+    "s": r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000",
+    "d": r"\p{Nd}",
+    "w": r"\p{L}\p{N}_",
+}
+_WORD = f"[{_CLASSES['w']}]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A pattern with its character classes and word edges spelled out for Java."""
+
+    def spell(m: re.Match) -> str:
+        token = m.group(0)
+        if token.startswith("["):
+            return re.sub(r"\\[sdw]", lambda c: _CLASSES[c.group(0)[1]], token)
+        if token == r"\b":
+            return _EDGE
+        if token == r"\S":
+            return f"[^{_CLASSES['s']}]"
+        return f"[{_CLASSES[token[1]]}]" if token[1] in _CLASSES else token
+
+    # An edge before a word character is one look-behind, tried only where one stands.
+    first = re.match(r"\\b(\[[^\]]+\]|\\d)", pattern)
+    if first:
+        lead = re.sub(r"\\d", lambda c: f"[{_CLASSES['d']}]", first.group(1))
+        return f"(?={lead})(?<!{_WORD})" + unicode_pattern(pattern[2:])
+    return re.sub(r"\[\^?(?:\\.|[^\]\\])+\]|\\.", spell, pattern)
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode whitespace (``trim`` removes only blanks)."""
     return F.btrim(c, F.lit(fv.WHITESPACE))
@@ -43,7 +76,7 @@ def extract_title(description: Column, strict: bool = False) -> Column:
     prefix = fv.TITLE_PREFIX
     if strict:
         prefix = prefix.replace(")", r")\b", 1)
-    title = F.regexp_replace(first_chars(line, 120), "(?iU)" + prefix, "")
+    title = F.regexp_replace(first_chars(line, 120), "(?iu)" + unicode_pattern(prefix), "")
     return F.coalesce(empty_to_null(title), F.lit(fv.UNTITLED))
 
 
@@ -67,21 +100,41 @@ def combine_enhance_text(*parts: Column) -> Column:
     return strip(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 # A run of non-blanks holding an address is replaced whole, so only the start of a run
 # needs trying; without the look-behind a long unbroken run costs quadratic time.
 _RUN_START = r"(?<!\S)"
+# Plain text every match of a masking pattern must hold; most texts hold none of it.
+_PROBES = [("http", "www."), ("@",), ("<",), (), ("0x",), ("/", "\\"), ()]
 
 
 def mask_artifacts(text: Column) -> Column:
     """Lower-case and replace links, addresses, markup, hashes, paths and numbers."""
     out = F.lower(text)
-    for pattern, token in fv.CLEANING_PATTERNS:
-        if token.strip() == "emailtoken":
+    for (pattern, token), probes in zip(fv.CLEANING_PATTERNS, _PROBES, strict=True):
+        if probes == ("@",):
             pattern = _RUN_START + pattern
-        out = F.regexp_replace(out, "(?U)" + pattern, token)
+        out = _masked(out, unicode_pattern(pattern), token, probes)
     return out
 
 
+def _masked(text: Column, pattern: str, token: str, probes: tuple[str, ...]) -> Column:
+    if not probes:
+        return F.regexp_replace(text, pattern, token)
+
+    def where_probed(t: Column) -> Column:
+        hit = F.lit(False)
+        for p in probes:
+            hit = hit | t.contains(p)
+        return F.when(hit, F.regexp_replace(t, pattern, token)).otherwise(t)
+
+    return let(text, where_probed)
+
+
 def clean(text: Column) -> Column:
     """Cleaning only: masked text with every non-letter run collapsed to one blank."""
     letters = F.regexp_replace(mask_artifacts(text), "[^a-zA-Z]+", " ")
@@ -126,7 +179,7 @@ def normalize(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Text folded so that plain substring tests cover case-insensitive matches."""
-    return F.lower(F.upper(text))
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
 def _probe_words(pattern: str) -> list[str]:
@@ -146,14 +199,14 @@ def extract_section(
     bodies = []
     for p in fv.SECTION_PATTERNS[section]:
         header = rf"\b(?:{p})\b[:\-\s]*" if strict else f"(?:{p})"
-        body = F.get(F.split(description, f"(?iU){header}", 2), F.lit(1))
+        body = F.get(F.split(description, "(?iu)" + unicode_pattern(header), 2), F.lit(1))
         if probe is not None:
             hit = F.lit(False)
             for word in _probe_words(p):
                 hit = hit | probe.contains(word)
             body = F.when(hit, body)
         bodies.append(body)
-    body = F.get(F.split(F.coalesce(*bodies), "(?iU)" + fv.NEXT_HEADER, 2), F.lit(0))
+    body = F.get(F.split(F.coalesce(*bodies), "(?iu)" + unicode_pattern(fv.NEXT_HEADER), 2), F.lit(0))
     return F.coalesce(first_chars(strip(body), 500), F.lit(""))
 
 
@@ -196,4 +249,4 @@ def question_intent(question: Column) -> Column:
 
 def search_term(question: Column) -> Column:
     """What a search question asks for: its command words removed."""
-    return strip(F.regexp_replace(question, "(?i)" + fv.SEARCH_TERM_PATTERN, ""))
+    return strip(F.regexp_replace(question, "(?iu)" + fv.SEARCH_TERM_PATTERN, ""))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bugsieve.functions import fixed_values as fv
-from bugsieve.functions.text import strip
+from bugsieve.functions.text import strip, unicode_pattern
 from bugsieve.operators.distributions import severity_distribution
 from bugsieve.operators.numbering import number_rows
 
@@ -144,17 +144,17 @@ def artifact_audit(records: DataFrame, column: str = "normalized_text") -> DataF
     c = F.col(column)
     return _counts(
         records,
-        special=c.rlike(r"(?U)[^a-zA-Z\s]"),
+        special=c.rlike(unicode_pattern(r"[^a-zA-Z\s]")),
         urls=c.rlike("https?://"),
         html=c.rlike("<[^>]+>"),
-        emails=c.rlike(r"(?U)(?<!\S)\S+@\S+\.\S+"),
+        emails=c.rlike(unicode_pattern(r"(?<!\S)\S+@\S+\.\S+")),
     )
 
 
 def stopword_audit(records: DataFrame, n: int = 500, column: str = "normalized_text") -> DataFrame:
     """Stopword share in percent over the first ``n`` reports by id (the audit's sample)."""
     head = records.select("defect_id", column).orderBy("defect_id").limit(n)
-    words = F.filter(F.split(F.col(column), r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.col(column), unicode_pattern(r"\s+")), lambda w: w != "")
     stop = F.filter(words, lambda w: w.isin(fv.AUDIT_STOPWORDS))
     total, hits = F.sum(F.size(words)), F.sum(F.size(stop))
     return head.agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bugsieve.functions import fixed_values as fv
 from bugsieve.functions.decisions import DECISIONS, placeholder_decision
-from bugsieve.functions.text import fold_severity, strip
+from bugsieve.functions.text import fold_severity, strip, unicode_pattern
 from bugsieve.operators.browse import first_members, without_noise
 
 NOISE_SORT_KEY = 999
@@ -161,7 +161,7 @@ def cluster_keywords(df: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("defect_id", "title"))).alias("heads")
     )
     words = F.filter(
-        F.flatten(F.transform("heads", lambda h: F.split(h["title"], r"(?U)\s+"))),
+        F.flatten(F.transform("heads", lambda h: F.split(h["title"], unicode_pattern(r"\s+")))),
         lambda w: (F.length(w) > 3) & ~F.lower(w).isin(fv.KEYWORD_STOPWORDS),
     )
     bare = F.transform(F.slice(words, 1, 3), lambda w: F.regexp_replace(w, "[^a-zA-Z0-9]", ""))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bugsieve.functions import fixed_values as fv
+from bugsieve.functions.text import let
 from bugsieve.operators.distributions import top_vocabulary
 
 SPARSE_TYPE = "struct<indices:array<int>,values:array<double>>"
@@ -99,11 +100,6 @@ def encode_with(
     return docs.mapInPandas(run, schema)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also inside higher-order functions."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def unit_vector(vector: Column) -> Column:
     """The vector scaled to length 1; a zero vector stays as it is."""
 
