@@ -20,17 +20,17 @@ def number_rows(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     partition, which is what the broadcast is bounded by.
     """
     ordered = df.orderBy(*order) if order else df
-    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumns(
+    placed = cut_lineage(ordered.withColumn("_nr_at", F.monotonically_increasing_id())).withColumns(
         {
-            "_part": F.shiftright("_at", _POSITION_BITS),
-            "_pos": F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)),
+            "_nr_part": F.shiftright("_nr_at", _POSITION_BITS),
+            "_nr_pos": F.col("_nr_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)),
         }
     )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    sizes = placed.groupBy("_nr_part").agg(F.count("*").alias("_nr_n"))
+    before = W.orderBy("_nr_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_nr_part", F.coalesce(F.sum("_nr_n").over(before), F.lit(0)).alias("_nr_offset"))
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_offset") + F.col("_pos") + 1).cast("bigint"))
-        .drop("_at", "_part", "_pos", "_offset")
+        placed.join(F.broadcast(offsets), "_nr_part")
+        .withColumn(name, (F.col("_nr_offset") + F.col("_nr_pos") + 1).cast("bigint"))
+        .drop("_nr_at", "_nr_part", "_nr_pos", "_nr_offset")
     )
