@@ -202,6 +202,7 @@ def block_rows_of(q: DataFrame, c: DataFrame | None, block_rows: int = BLOCK_ROW
 
 
 Kernel = Callable[[pa.Table, pa.Table], dict]
+_OUTPUT_ROWS, _OUTPUT_BLOCKS = 8192, 256
 _BLOCK_KEY = ["cell", "c_block", "q_block"]
 
 
@@ -215,22 +216,9 @@ def map_blocks(rows: DataFrame, kernel: Kernel, schema: str | T.StructType) -> D
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow_schema = to_arrow_schema(struct)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
         held_key = None
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            block = pa.Table.from_batches(held).combine_chunks()
-            side = kn.numbers(block["side"])
-            q, c = (block.filter(pa.array((side & bit) > 0)) for bit in (1, 2))
-            if q.num_rows and c.num_rows:
-                out = kernel(q, c)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[f.name]).cast(f.type) for f in arrow_schema], schema=arrow_schema
-                )
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -239,9 +227,34 @@ def map_blocks(rows: DataFrame, kernel: Kernel, schema: str | T.StructType) -> D
             for start, end in zip([0, *cuts], [*cuts, len(key)]):
                 here = tuple(key[start])
                 if here != held_key:
-                    yield from finish()
+                    if held:
+                        yield pa.Table.from_batches(held)
                     held, held_key = [], here
                 held.append(batch.slice(int(start), int(end - start)))
-        yield from finish()
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.RecordBatch] = []
+        for block in blocks(batches):
+            side = kn.numbers(block["side"])
+            if (side == 3).all():
+                q = c = block
+            else:
+                q, c = (block.take(np.nonzero(side & bit)[0]) for bit in (1, 2))
+            if not (q.num_rows and c.num_rows):
+                continue
+            out = kernel(q, c)
+            ready.append(
+                pa.RecordBatch.from_arrays(
+                    [pa.array(out[f.name]).cast(f.type) for f in arrow_schema], schema=arrow_schema
+                )
+            )
+            # Small blocks are many: hand their rows over together.
+            if sum(b.num_rows for b in ready) >= _OUTPUT_ROWS or len(ready) >= _OUTPUT_BLOCKS:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready = []
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
     return placed.mapInArrow(run, struct)

@@ -67,6 +67,9 @@ def paired_matrices(a: Column, b: Column) -> tuple[np.ndarray, np.ndarray]:
     """Two row sets over one common set of columns (for sparse rows: those in both)."""
     if not is_sparse(a):
         return to_matrix(a), to_matrix(b)
+    if a is b:
+        m = to_matrix(a, used_columns(a))
+        return m, m
     columns = np.intersect1d(used_columns(a), used_columns(b))
     return to_matrix(a, columns), to_matrix(b, columns)
 
@@ -117,7 +120,8 @@ def block_top_k(
     q: pa.Table, c: pa.Table, k: int, min_score: float | None = None
 ) -> dict[str, np.ndarray]:
     """Best matches of a query block in a corpus block, by chunked matrix products."""
-    x, y = paired_matrices(q["vector"], c["vector"])
+    vectors = q["vector"]
+    x, y = paired_matrices(vectors, vectors if c is q else c["vector"])
     q_ids, c_ids = keys(q["id"]), keys(c["id"])
     best = RunningTopK(len(x), k, min_score)
     for at in range(0, len(x), _CHUNK):
