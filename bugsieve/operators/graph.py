@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from bugsieve.operators import kernels as kn
 from bugsieve.operators.skew import join_one_row_per_key
 from bugsieve.session import cut_lineage
 
@@ -17,12 +22,13 @@ def component_labels(edges: DataFrame, group: str = "level") -> DataFrame:
     Input ``(group, a, b)``.  Alternates the two star operations of Kiveris et al.
     (Connected Components in MapReduce and Beyond, 2014): each round hooks every node's
     larger, then smaller neighbours to its smallest one.  The rounds needed grow with the
-    logarithm of the graph; every round ends in a checkpoint.
+    logarithm of the graph; every round ends in a checkpoint.  Edges that travel together
+    are linked up before the first round.
     """
     both = edges.select(
         group, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).filter("u != v")
-    now = cut_lineage(both.distinct())
+    now = cut_lineage(_contract(both).distinct())
     state = _state(now)
     for _ in range(MAX_ROUNDS):
         n = state[0]
@@ -41,6 +47,25 @@ def component_labels(edges: DataFrame, group: str = "level") -> DataFrame:
     return stars.unionByName(centres)
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """Replace the edges of each Arrow batch by stars: same components, shorter paths.
+
+    A batch is bounded, so this holds no more than some thousand edges at a time.
+    """
+    names = edges.columns
+    schema = to_arrow_schema(edges.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stars = kn.contracted(list(zip(*(batch[c].to_pylist() for c in names))))
+            columns = list(zip(*stars)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema
+            )
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     """Number of edges and an order-free digest of them."""
     digest = F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))

@@ -173,3 +173,23 @@ def minimum_forest(weight: np.ndarray, limit: int) -> list[tuple[int, int, int]]
                 edges.append((int(from_col[c]), c, int(best_c)))
                 node, is_row = c, False
     return edges
+
+
+def contracted(edges: list[tuple]) -> list[tuple]:
+    """Edges ``(group, u, v)`` as stars: each node with the smallest node it is linked to."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for group, u, v in edges:
+        a, b = (group, u), (group, v)
+        root.setdefault(a, a)
+        root.setdefault(b, b)
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(x[0], x[1], find(x)[1]) for x in root if find(x) != x]
