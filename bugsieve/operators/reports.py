@@ -29,17 +29,26 @@ def join_severity(
 ) -> DataFrame:
     """Left join on the description text; repeated texts fan out as SQL says.
 
-    Long texts are joined by a 64-bit hash and by equality, so sorting and hashing
-    compare eight bytes; the equality keeps the result exact under collisions.
+    The right side is first reduced to one row per text, with its severities and how often
+    each occurs; the fan-out happens after the join.  A text copied over a large part of
+    both tables then meets one row, and only the left side of its key can be skewed, which
+    adaptive execution splits.  Long texts are joined by a 64-bit hash and by equality:
+    hashing and sorting compare eight bytes, and collisions do no harm.
     ``dedupe_right`` keeps one severity per text (the smallest), without fan-out.
     """
-    right = severities.select(key, "Severity")
+    counted = severities.groupBy(key, "Severity").agg(F.count("*").alias("_n"))
     if dedupe_right:
-        right = right.groupBy(key).agg(F.min("Severity").alias("Severity"))
+        counted = counted.groupBy(key).agg(F.min("Severity").alias("Severity"), F.lit(1).alias("_n"))
+    right = counted.groupBy(F.col(key).alias("_text")).agg(
+        F.collect_list(F.struct("Severity", "_n")).alias("_found")
+    ).withColumn("_rh", F.xxhash64("_text"))
     left = fixes.withColumn("_h", F.xxhash64(key))
-    right = right.withColumnRenamed(key, "_text").withColumn("_rh", F.xxhash64("_text"))
     on = (F.col("_h") == F.col("_rh")) & (F.col(key) == F.col("_text"))
-    return left.join(right, on, "left").drop("_h", "_rh", "_text")
+    joined = left.join(right, on, "left").select(*fixes.columns, F.explode_outer("_found").alias("_f"))
+    times = F.sequence(F.lit(1).cast("bigint"), F.coalesce(F.col("_f._n"), F.lit(1)).cast("bigint"))
+    return joined.select(
+        *fixes.columns, F.col("_f.Severity").alias("Severity"), F.explode(times).alias("_t")
+    ).drop("_t")
 
 
 def canonical_base(df: DataFrame) -> DataFrame:

@@ -41,7 +41,11 @@ def test_sql_only_for_registered_queries():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, name):
-    ours = QUERIES[name](spark, str(DATA)).toPandas()
+    plan = QUERIES[name](spark, str(DATA))
+    physical = plan._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert unwanted not in physical
+    ours = plan.toPandas()
     if name not in SQL:
         assert len(ours) > 0
         return

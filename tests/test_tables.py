@@ -112,6 +112,8 @@ def test_text_join_fans_out_and_dedupes(spark):
     fixes = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "Description string, Label int")
     sev = spark.createDataFrame([("x", "major"), ("x", "minor")], "Description string, Severity string")
     assert rp.join_severity(fixes, sev).count() == 5
+    assert rp.join_severity(fixes, sev.union(sev)).filter("Severity = 'minor'").count() == 4
+    assert rp.join_severity(fixes, sev).filter("Description = 'y'").head()["Severity"] is None
     once = rp.join_severity(fixes, sev, dedupe_right=True)
     assert sorted((r["Label"], r["Severity"] or "") for r in once.collect()) == [(1, "major"), (2, "major"), (3, "")]
 
@@ -174,6 +176,14 @@ def test_pages(listing):
             br.page_of(listing, page, size)
 
 
+def test_lookup_reaches_the_scan(spark, listing, tmp_path):
+    writers.write_records(listing, str(tmp_path / "r"))
+    found = br.lookup(spark.read.parquet(str(tmp_path / "r")), "DEF-00042").select("defect_id", "title")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(defect_id,DEF-00042)" in plan
+    assert "ReadSchema: struct<defect_id:string,title:string>" in plan
+
+
 def test_lookup_and_recent(listing):
     assert br.lookup(listing, "DEF-00042").count() == 1 and br.lookup(listing, "DEF-99999").count() == 0
     assert [r["defect_id"] for r in br.recent(listing).collect()] == [f"DEF-{i:05d}" for i in range(1, 6)]
