@@ -3,6 +3,7 @@
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -30,7 +31,7 @@ def engine():
 
 def plain(frame, columns):
     def cell(x):
-        return None if x is None or x != x else x
+        return None if pd.isna(x) else x
 
     return sorted((tuple(cell(x) for x in r) for r in frame[columns].astype(object).itertuples(index=False)), key=repr)
 
