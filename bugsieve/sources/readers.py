@@ -123,7 +123,8 @@ def read_tracker_exports(spark: SparkSession, root: str, glob: str = "*_bugs.csv
         )
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], TRACKER_SCHEMA.add("source_file", T.StringType()))
+        source = T.StructField("source_file", T.StringType())
+        return spark.createDataFrame([], T.StructType([*TRACKER_SCHEMA.fields, source]))
     return out
 
 
