@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bugsieve.llm import decontam, quality, simhash
+from bugsieve.llm import bpe, decontam, pii, quality, simhash
 from bugsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +104,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+@_query("op3_crf_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), prefix="").select(
+        "doc_id", "base", "spans", "counts"
+    )
+    return found.select(
+        "doc_id",
+        *[F.get("counts", F.lit(k)).alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERN_KINDS)],
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
+@_query("op7_bpe_merge_replay")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    both = bpe.decode(ids.select("doc_id", "ids"), path)
+    return both.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
