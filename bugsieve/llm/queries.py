@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bugsieve.llm import bpe, decontam, pii, quality, shards, simhash, warc
+from bugsieve.llm import bpe, chat, decontam, pii, quality, shards, simhash, urls, warc
 from bugsieve.llm.common import table
 from bugsieve.session import scratch_path
 
@@ -28,6 +28,25 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+CHAT_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT conv_id, row_number() OVER w AS pos,
+             string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>'
+                        || chr(10), '') OVER w AS upto
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT conv_id, max(pos) AS n FROM p GROUP BY conv_id),
+e AS (SELECT upto, pos, min(conv_id) AS conv_id, count(*) AS n_copies
+      FROM p JOIN n USING (conv_id) WHERE pos = n GROUP BY upto, pos),
+i AS (SELECT DISTINCT upto, pos FROM p JOIN n USING (conv_id) WHERE pos < n)
+SELECT conv_id, pos AS n_turns, n_copies, upto AS rendered FROM e ANTI JOIN i ON e.upto = i.upto AND e.pos = i.pos
+"""
+
+
+@_query("op1_chat_snapshots", CHAT_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.snapshots_collapsed(table(spark, sf_dir, "conversations"))
+
+
 QUALITY_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -102,6 +121,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    ("block", "net/"),
+    ("allow", "example.net/en/"),
+    ("block", "example.com/de/"),
+    ("allow", "org/fr/"),
+]
+
+
+@_query("op9_url_trees")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.labelled_urls(spark))
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model, URL_RULES)\
+        .select("page_id", "host", "path", "rule", "verdict")
+
+
 @_query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
