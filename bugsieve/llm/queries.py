@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bugsieve.llm import bpe, chat, decontam, pii, quality, shards, simhash, urls, warc
+from bugsieve.llm import bpe, chat, decontam, paragraphs, pii, quality, shards, simhash, urls, warc
 from bugsieve.llm.common import table
 from bugsieve.session import scratch_path
 
@@ -121,6 +121,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op8_paragraph_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.occurrences(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     ("block", "net/"),
     ("allow", "example.net/en/"),
