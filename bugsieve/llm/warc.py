@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bugsieve.functions.text import let
+from bugsieve.llm.common import text_batches
 
 LEAST_SHARED = 100
 SEGMENT = 32 << 10  # bytes of a block in one record
@@ -185,6 +186,7 @@ def _number(found: str | None) -> int | None:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``, as they lie there."""
+    text_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
