@@ -11,8 +11,7 @@ TOP_MATCHES = 5
 SEARCH_DEFAULT_K = 10
 SEARCH_MAX_K = 50
 MAX_PER_PAGE = 100
-VOCABULARY_SIZE = 5000
-MAX_RECORDS = 20000
+PREVIEW_CHARS = {"title": 120, "raw_description": 1000, "combined_text": 1500, "normalized_text": 500}
 N_CLUSTERS = 12
 N_RECLUSTERS = 5
 MIN_NORMALIZED_CHARS = 10

@@ -67,7 +67,7 @@ def first_chars(c: Column, n: int) -> Column:
 
 
 def extract_title(description: Column, strict: bool = False) -> Column:
-    """Title from the first non-blank line: cut to 120, generic prefix removed.
+    """Title from the first non-blank line: whole, generic prefix removed.
 
     Stripping the whole text first makes the first line the first non-blank one, so no
     array of lines is built.  ``strict`` asks for a word boundary after the prefix.
@@ -76,7 +76,7 @@ def extract_title(description: Column, strict: bool = False) -> Column:
     prefix = fv.TITLE_PREFIX
     if strict:
         prefix = prefix.replace(")", r")\b", 1)
-    title = F.regexp_replace(first_chars(line, 120), "(?iu)" + unicode_pattern(prefix), "")
+    title = F.regexp_replace(line, "(?iu)" + unicode_pattern(prefix), "")
     return F.coalesce(empty_to_null(title), F.lit(fv.UNTITLED))
 
 
@@ -188,10 +188,14 @@ def _probe_words(pattern: str) -> list[str]:
 
 
 def extract_section(
-    description: Column, section: str, strict: bool = False, probe: Column | None = None
+    description: Column,
+    section: str,
+    strict: bool = False,
+    probe: Column | None = None,
+    max_chars: int | None = None,
 ) -> Column:
     """Body of one section: text after the first header pattern, in list order, that
-    occurs, up to the next header-like line; stripped, at most 500 characters.
+    occurs, up to the next header-like line; stripped, whole unless ``max_chars`` is given.
 
     ``probe`` is the folded description; most texts hold no header word at all, and a
     substring test on it spares them the pattern.
@@ -207,7 +211,8 @@ def extract_section(
             body = F.when(hit, body)
         bodies.append(body)
     body = F.get(F.split(F.coalesce(*bodies), "(?iu)" + unicode_pattern(fv.NEXT_HEADER), 2), F.lit(0))
-    return F.coalesce(first_chars(strip(body), 500), F.lit(""))
+    whole = strip(body)
+    return F.coalesce(whole if max_chars is None else first_chars(whole, max_chars), F.lit(""))
 
 
 def extract_sections(

@@ -11,6 +11,7 @@ from bugsieve.functions import fixed_values as fv
 from bugsieve.functions.text import strip, unicode_pattern
 from bugsieve.operators.distributions import severity_distribution
 from bugsieve.operators.numbering import number_rows
+from bugsieve.operators.reports import id_order
 
 RECORD_FIELDS = (
     "defect_id", "title", "raw_description", "steps", "expected", "actual", "environment", "logs",
@@ -26,11 +27,13 @@ def ordered_split(df: DataFrame, n_train: int, n_test: int, order: str = "defect
     Only the ids are sorted and numbered; the boundary id then splits the table by a
     comparison, without moving its rows.
     """
-    ids = number_rows(df.select(order), order)
+    place = F.struct(*id_order(df, order))
+    ids = number_rows(df.select(place.alias("place")), "place")
     n = ids.count()
     at = (n * n_train) // (n_train + n_test)
-    boundary = ids.filter(F.col("number") == at).select(order).head()
-    split = F.when(F.col(order) <= boundary[0], "train").otherwise("test") if boundary else F.lit("test")
+    boundary = ids.filter(F.col("number") == at).select("place.*").head()
+    last = F.struct(*[F.lit(x) for x in boundary]) if boundary else None
+    split = F.when(place <= last, "train").otherwise("test") if boundary else F.lit("test")
     return df.withColumn("split", split)
 
 
@@ -133,8 +136,8 @@ def lowercase_audit(records: DataFrame, column: str = "normalized_text") -> Data
     """
     upper = F.col(column).rlike(r"\p{Lu}")
     samples = (
-        records.filter(upper).select("defect_id").orderBy("defect_id").limit(3)
-        .agg(F.array_join(F.sort_array(F.collect_list("defect_id")), ",").alias("samples"))
+        records.filter(upper).select(F.struct(*id_order(records)).alias("place")).orderBy("place").limit(3)
+        .agg(F.array_join(F.array_sort(F.collect_list("place"))["defect_id"], ",").alias("samples"))
     )
     return _counts(records, with_upper=upper).withColumn("samples", samples.scalar())
 
@@ -151,9 +154,10 @@ def artifact_audit(records: DataFrame, column: str = "normalized_text") -> DataF
     )
 
 
-def stopword_audit(records: DataFrame, n: int = 500, column: str = "normalized_text") -> DataFrame:
-    """Stopword share in percent over the first ``n`` reports by id (the audit's sample)."""
-    head = records.select("defect_id", column).orderBy("defect_id").limit(n)
+def stopword_audit(records: DataFrame, n: int | None = None, column: str = "normalized_text") -> DataFrame:
+    """Stopword share in percent over all reports, or over the first ``n`` by id if given."""
+    head = records.select("defect_id", column)
+    head = head if n is None else head.orderBy(*id_order(head)).limit(n)
     words = F.filter(F.split(F.col(column), unicode_pattern(r"\s+")), lambda w: w != "")
     stop = F.filter(words, lambda w: w.isin(fv.AUDIT_STOPWORDS))
     total, hits = F.sum(F.size(words)), F.sum(F.size(stop))
@@ -176,11 +180,10 @@ def whitespace_audit(records: DataFrame, column: str = "normalized_text") -> Dat
 
 
 def combined_text_audit(records: DataFrame) -> DataFrame:
-    """Whether combined text holds the parts it is made of, and mean normalised length
+    """Whether combined text holds the whole parts it is made of, and mean normalised length
     with and without the extra sections."""
     def holds(c: str) -> Column:
-        head = F.substring(F.col(c), 1, 30)
-        return F.contains(F.col("combined_text"), head) | (F.length(c) == 0)
+        return F.contains(F.col("combined_text"), strip(F.col(c))) | (F.length(c) == 0)
 
     extra = (F.length("steps") > 0) | (F.length("actual") > 0)
     size = F.length("normalized_text")

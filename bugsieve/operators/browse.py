@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bugsieve.functions import fixed_values as fv
 from bugsieve.functions.text import fold_severity
+from bugsieve.operators.reports import id_order
 from bugsieve.session import cut_lineage
 
 
@@ -92,7 +93,9 @@ def without_heavy_fields(matches: DataFrame) -> DataFrame:
 def _check_page(page: int, per_page: int) -> int:
     if page < 1 or per_page < 1:
         raise ValueError("page and per_page start at 1")
-    return min(per_page, fv.MAX_PER_PAGE)
+    if per_page > fv.MAX_PER_PAGE:
+        raise ValueError(f"per_page is at most {fv.MAX_PER_PAGE}")
+    return per_page
 
 
 def page_of(df: DataFrame, page: int, per_page: int = 20, order: str = "defect_id") -> DataFrame:
@@ -102,7 +105,7 @@ def page_of(df: DataFrame, page: int, per_page: int = 20, order: str = "defect_i
     rows reach the final merge, never the whole table.
     """
     n = _check_page(page, per_page)
-    return df.orderBy(order).limit(page * n).offset((page - 1) * n)
+    return df.orderBy(*id_order(df, order)).limit(page * n).offset((page - 1) * n)
 
 
 def page_after(
@@ -110,7 +113,12 @@ def page_after(
 ) -> DataFrame:
     """The page after a known key: cost does not grow with the depth of the page."""
     n = _check_page(1, per_page)
-    return df.filter(F.col(order) > F.lit(last)).orderBy(order).limit(n)
+    place = id_order(df, order)
+    later = F.col(order) > F.lit(last)
+    if len(place) > 1:
+        size = F.length(F.lit(last))
+        later = (place[0] > size) | ((place[0] == size) & later)
+    return df.filter(later).orderBy(*place).limit(n)
 
 
 def page_totals(df: DataFrame, per_page: int = 20) -> DataFrame:
@@ -122,7 +130,7 @@ def page_totals(df: DataFrame, per_page: int = 20) -> DataFrame:
 
 
 def recent(df: DataFrame, n: int = 5, order: str = "defect_id") -> DataFrame:
-    return df.orderBy(order).limit(n)
+    return df.orderBy(*id_order(df, order)).limit(n)
 
 
 def lookup(df: DataFrame, key: str, column: str = "defect_id") -> DataFrame:
@@ -136,7 +144,7 @@ def first_members(df: DataFrame, n: int, order: str = "defect_id") -> DataFrame:
     ``row_number() <= n`` lets Spark cut every map task to ``n`` rows per cluster before
     the shuffle, so one huge cluster does not fill one task.
     """
-    w = W.partitionBy("cluster_id").orderBy(order)
+    w = W.partitionBy("cluster_id").orderBy(*id_order(df, order))
     return df.withColumn("member", F.row_number().over(w)).filter(F.col("member") <= n)
 
 
@@ -149,16 +157,17 @@ def chain_links(df: DataFrame, key: str = "defect_id") -> DataFrame:
     the few links across partitions come from each partition's first and last member.
     """
     nodes = without_noise(df).select("cluster_id", key)
+    place = id_order(nodes, key)
     # The partition number must not change between the two uses below.
     ranged = cut_lineage(
-        nodes.repartitionByRange("cluster_id", key).withColumn(
+        nodes.repartitionByRange("cluster_id", *place).withColumn(
             "part", F.spark_partition_id()
         )
     )
-    inside = W.partitionBy("part", "cluster_id").orderBy(key)
+    inside = W.partitionBy("part", "cluster_id").orderBy(*place)
     links = ranged.withColumn("target", F.lead(key).over(inside)).filter("target is not null")
     ends = ranged.groupBy("cluster_id", "part").agg(
-        F.min(key).alias("first"), F.max(key).alias("last")
+        F.min_by(key, F.struct(*place)).alias("first"), F.max_by(key, F.struct(*place)).alias("last")
     )
     across = W.partitionBy("cluster_id").orderBy("part")  # at most one row per partition
     seams = ends.withColumn("target", F.lead("first").over(across)).filter("target is not null")

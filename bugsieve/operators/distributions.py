@@ -11,9 +11,6 @@ from bugsieve.functions.decisions import DECISIONS, placeholder_decision
 from bugsieve.functions.text import fold_severity, strip, unicode_pattern
 from bugsieve.operators.browse import first_members, without_noise
 
-NOISE_SORT_KEY = 999
-
-
 def severity_distribution(df: DataFrame, *by: str) -> DataFrame:
     """Reports per severity; null counts as ``unknown``."""
     return df.groupBy(*by, F.coalesce("severity", F.lit("unknown")).alias("severity")).agg(
@@ -21,11 +18,10 @@ def severity_distribution(df: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def cluster_distribution(df: DataFrame, n: int = 20) -> DataFrame:
-    """Reports per cluster, ordered by id with noise placed at 999, first ``n``."""
-    counts = cluster_sizes(df)
-    sort_key = F.when(F.col("cluster_id") == -1, NOISE_SORT_KEY).otherwise(F.col("cluster_id"))
-    return counts.orderBy(sort_key, "cluster_id").limit(n)
+def cluster_distribution(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Reports per cluster, ordered by id with noise last; the first ``n`` if given."""
+    ordered = cluster_sizes(df).orderBy(F.col("cluster_id") == -1, "cluster_id")
+    return ordered if n is None else ordered.limit(n)
 
 
 def cluster_sizes(df: DataFrame) -> DataFrame:
@@ -100,7 +96,8 @@ def cluster_rollup(df: DataFrame) -> DataFrame:
     members = (
         first_members(kept.select("cluster_id", "defect_id"), 3)
         .groupBy("cluster_id")
-        .agg(F.array_join(F.sort_array(F.collect_list("defect_id")), ",").alias("first_members"))
+        .agg(F.array_sort(F.collect_list(F.struct("member", "defect_id"))).alias("m"))
+        .select("cluster_id", F.array_join("m.defect_id", ",").alias("first_members"))
     )
     return counts.join(members, "cluster_id")
 
@@ -158,7 +155,7 @@ def cluster_keywords(df: DataFrame) -> DataFrame:
     """Up to three keywords per cluster, from the titles of its first five members."""
     heads = first_members(without_noise(df).select("cluster_id", "defect_id", "title"), 5)
     titles = heads.groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("defect_id", "title"))).alias("heads")
+        F.array_sort(F.collect_list(F.struct("member", "title"))).alias("heads")
     )
     words = F.filter(
         F.flatten(F.transform("heads", lambda h: F.split(h["title"], unicode_pattern(r"\s+")))),
@@ -187,7 +184,3 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-
-
-def top_vocabulary(df: DataFrame, tokens: str = "tokens", n: int = fv.VOCABULARY_SIZE) -> DataFrame:
-    return vocabulary(df, tokens).orderBy(F.desc("n"), "token").limit(n)

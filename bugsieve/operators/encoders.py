@@ -1,7 +1,7 @@
 """Text encoders: tokens to unit vectors.
 
-The default encoder is TF-IDF over a bounded vocabulary, fitted and applied with Spark ML.
-A neural encoder can be plugged in with :func:`encode_with`.
+The default encoder is TF-IDF over every token of the corpus.  A neural encoder can be plugged
+in with :func:`encode_with`.
 """
 
 from __future__ import annotations
@@ -10,65 +10,108 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, IDF, IDFModel, Normalizer
+from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bugsieve.functions import fixed_values as fv
 from bugsieve.functions.text import let
-from bugsieve.operators.distributions import top_vocabulary
+from bugsieve.operators.numbering import number_rows
+from bugsieve.session import cut_lineage
 
-SPARSE_TYPE = "struct<indices:array<int>,values:array<double>>"
+SPARSE_TYPE = "struct<indices:array<bigint>,values:array<double>>"
 
 
 @dataclass(frozen=True)
 class TfIdfEncoder:
-    """A fitted vocabulary and its inverse document frequencies."""
+    """The corpus's terms as a table ``(token, term, idf)``.
 
-    counts: CountVectorizerModel
-    idf: IDFModel
+    Terms are numbered from 0, most frequent first, ties by token, so the numbers do not depend
+    on partitioning and the rarest terms of a row have its largest numbers.
+    """
+
+    terms: DataFrame
     name: str = "tfidf-l2"
 
     @property
     def dimension(self) -> int:
-        return len(self.counts.vocabulary)
+        return self.terms.count()
 
     @staticmethod
-    def fit(docs: DataFrame, tokens: str = "tokens", size: int = fv.VOCABULARY_SIZE) -> TfIdfEncoder:
-        """Fit on a token column.
+    def fit(docs: DataFrame, tokens: str = "tokens", size: int | None = None) -> TfIdfEncoder:
+        """Fit on a token column: occurrences and documents of every token in one pass.
 
-        The vocabulary is the ``size`` most frequent tokens, ties by token, so it does not
-        depend on partitioning.  Only those ``size`` strings reach the driver.
+        ``size`` keeps only the most frequent tokens, for callers that ask for it.  The terms
+        stay a table; nothing but the number of documents reaches the driver.
         """
-        words = [r["token"] for r in top_vocabulary(docs, tokens, size).collect()]
-        words = words or ["\x00"]
-        counts = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="_tf")
-        idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts.transform(docs.select(tokens)))
-        return TfIdfEncoder(counts, idf)
-
-    def encode(
-        self, docs: DataFrame, output: str = "vector", ml_output: str | None = None
-    ) -> DataFrame:
-        """Add the unit vector of each row, in the sparse layout.  A map-only step.
-
-        ``ml_output`` also keeps it as a Spark ML vector, for the ML estimators."""
-        unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit")
-        out = unit.transform(self.idf.transform(self.counts.transform(docs)))
-        raw = F.unwrap_udt("_unit")
-        sparse = F.struct(
-            _support(raw).alias("indices"), F.filter(raw["values"], lambda w: w != 0).alias("values")
+        n = docs.count()
+        counted = (
+            _term_counts(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(tokens).alias("tokens")))
+            .groupBy("token")
+            .agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+            .withColumn("_first", -F.col("n"))
         )
-        out = out.withColumn(output, sparse.cast(SPARSE_TYPE)).drop("_tf", "_tfidf")
-        return out.withColumnRenamed("_unit", ml_output) if ml_output else out.drop("_unit")
-
-
-def _support(raw: Column) -> Column:
-    """Indices of the non-zero entries; a dense vector lists all its values."""
-    dense = F.sequence(F.lit(0), F.size(raw["values"]) - 1)
-    indices = F.coalesce(raw["indices"], F.when(F.size(raw["values"]) > 0, dense), F.array().cast("array<int>"))
-    kept = F.filter(F.arrays_zip(indices.alias("i"), raw["values"].alias("w")), lambda t: t["w"] != 0)
-    return F.transform(kept, lambda t: t["i"])
+        numbered = number_rows(counted, "_first", "token", name="term")
+        idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1))
+        terms = numbered.select("token", (F.col("term") - 1).alias("term"), idf.alias("idf"))
+        return TfIdfEncoder(cut_lineage(terms if size is None else terms.filter(F.col("term") < size)))
+
+    def encode(self, docs: DataFrame, output: str = "vector", tokens: str = "tokens") -> DataFrame:
+        """Add the unit vector of each row, in the sparse layout; a row without terms gets an
+        empty one.
+
+        A row's distinct tokens meet the terms in a join by token and come back together by
+        row.  A token that most rows share is skewed on the rows' side only, which adaptive
+        execution splits.
+        """
+        rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+        weighted = _term_counts(rows.select("_row", F.col(tokens).alias("tokens"))).join(
+            self.terms.filter("idf <> 0"), "token"
+        )
+        entries = weighted.groupBy(F.col("_row").alias("_of")).agg(
+            F.array_sort(F.collect_list(F.struct("term", (F.col("n") * F.col("idf")).alias("w")))).alias("_e")
+        )
+        squares = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
+        unit = let(
+            F.sqrt(squares),
+            lambda length: F.struct(
+                F.col("_e.term").alias("indices"), F.transform("_e", lambda x: x["w"] / length).alias("values")
+            ),
+        )
+        empty = F.struct(
+            F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<double>").alias("values")
+        )
+        found = entries.select("_of", unit.cast(SPARSE_TYPE).alias("_unit"))
+        joined = rows.join(found, F.col("_row") == F.col("_of"), "left")
+        return joined.withColumn(output, F.coalesce("_unit", empty.cast(SPARSE_TYPE))).drop("_row", "_of", "_unit")
+
+
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """``(_row, token, n)``: occurrences of each distinct token, counted within the row."""
+    counts = F.transform(
+        F.array_distinct("tokens"),
+        lambda t: F.struct(t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("n")),
+    )
+    small = rows.filter(F.size("tokens") <= _COUNTED_IN_PLACE).select("_row", F.inline(counts))
+    large = (
+        rows.filter(F.size("tokens") > _COUNTED_IN_PLACE)
+        .select("_row", F.explode("tokens").alias("token"))
+        .groupBy("_row", "token")
+        .agg(F.count("*").cast("int").alias("n"))
+    )
+    return small.unionByName(large)
+
+
+#: Rows of up to so many tokens are counted inside the row; the time for that is quadratic.
+_COUNTED_IN_PLACE = 200
+
+
+def hashed_features(docs: DataFrame, tokens: str = "tokens", output: str = "features", bits: int = 18) -> DataFrame:
+    """Unit TF-IDF vectors of a fixed dimension as Spark ML vectors, for estimators that hold
+    dense centres: tokens are folded into ``2 ** bits`` columns."""
+    counts = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=1 << bits).transform(docs)
+    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts.select("_tf")).transform(counts)
+    return Normalizer(p=2.0, inputCol="_tfidf", outputCol=output).transform(weighted).drop("_tf", "_tfidf")
 
 
 def encode_with(

@@ -1,18 +1,22 @@
 """NumPy helpers run inside tasks: block products, running top-k, block forests.
 
 Vectors come in one of two layouts: ``array<float|double>`` (dense), or
-``struct<indices: array<int>, values: array<double>>`` (sparse).  Scores are rounded to
+``struct<indices: array<bigint>, values: array<double>>`` (sparse).  Scores are rounded to
 ``SCORE_DECIMALS`` before they are ranked: the order in which a block product adds its
 terms must not decide between equal scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 SCORE_DECIMALS = 9
 _CHUNK = 2048
+#: Rows of sparse vectors that are unfolded at a time, over the columns of the first side only.
+SPARSE_ROWS, SPARSE_OTHER_ROWS = 128, 512
 
 Column = pa.Array | pa.ChunkedArray
 
@@ -74,6 +78,11 @@ def paired_matrices(a: Column, b: Column) -> tuple[np.ndarray, np.ndarray]:
     return to_matrix(a, columns), to_matrix(b, columns)
 
 
+def _id_order(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sort keys, least first, for ids in the order of their numbers: shorter text comes first."""
+    return (ids,) if ids.dtype.kind in "iu" else (ids, np.char.str_len(ids))
+
+
 class RunningTopK:
     """Best ``k`` corpus ids for each of a fixed set of queries, fed block by block.
 
@@ -101,7 +110,7 @@ class RunningTopK:
         row_all = np.concatenate([self.rows, row + first])
         score_all = np.concatenate([self.scores, scores[row, col]])
         id_all = ids[col] if self.ids is None else np.concatenate([self.ids, ids[col]])
-        order = np.lexsort((id_all, -score_all, row_all))
+        order = np.lexsort((*_id_order(id_all), -score_all, row_all))
         row_all, score_all, id_all = row_all[order], score_all[order], id_all[order]
         starts = np.searchsorted(row_all, row_all, side="left")
         keep = np.arange(len(row_all)) - starts < self.k
@@ -120,17 +129,28 @@ def block_top_k(
     q: pa.Table, c: pa.Table, k: int, min_score: float | None = None
 ) -> dict[str, np.ndarray]:
     """Best matches of a query block in a corpus block, by chunked matrix products."""
-    vectors = q["vector"]
-    x, y = paired_matrices(vectors, vectors if c is q else c["vector"])
     q_ids, c_ids = keys(q["id"]), keys(c["id"])
-    best = RunningTopK(len(x), k, min_score)
-    for at in range(0, len(x), _CHUNK):
-        for c_at in range(0, len(y), _CHUNK):
-            scores = x[at : at + _CHUNK] @ y[c_at : c_at + _CHUNK].T
-            best.add(at, scores, c_ids[c_at : c_at + _CHUNK])
+    best = RunningTopK(len(q_ids), k, min_score)
+    for at, c_at, scores in products(whole(q["vector"]), whole(c["vector"])):
+        best.add(at, scores, c_ids[c_at : c_at + scores.shape[1]])
     return best.found(q_ids)
 
 
+def products(a: pa.Array, b: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Inner products of two row sets in pieces: first row, first column, scores.
+
+    Sparse rows are unfolded a few at a time, over the columns that occur in them: what is
+    in memory does not grow with the vocabulary.
+    """
+    rows, others = (SPARSE_ROWS, SPARSE_OTHER_ROWS) if is_sparse(a) else (_CHUNK, _CHUNK)
+    for at in range(0, len(a), rows):
+        part = a.slice(at, rows)
+        columns = used_columns(part)
+        x = to_matrix(part, columns)
+        for other in range(0, len(b), others):
+            yield at, other, x @ to_matrix(b.slice(other, others), columns).T
+
+
 def levels_of(distance: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """Index of the smallest radius in ``grid`` that covers each distance."""
     return np.searchsorted(grid, np.round(distance, SCORE_DECIMALS), side="left")

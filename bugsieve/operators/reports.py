@@ -76,15 +76,22 @@ def defect_id(number: Column) -> Column:
     return F.format_string("DEF-%05d", number)
 
 
+def id_order(df: DataFrame, key: str = "defect_id") -> list[Column]:
+    """Columns that put ids in the order of their numbers.  Ids are padded to five digits and
+    longer from 100,000 on, so shorter text comes first; ids that are numbers are their own order."""
+    column = F.col(key)
+    return [F.length(column), column] if df.schema[key].dataType.typeName() == "string" else [column]
+
+
 def mint_ids(df: DataFrame, *order: str) -> DataFrame:
     """Consecutive ids in the given order, numbered without a single-task window."""
     numbered = number_rows(df, *order)
     return numbered.select(defect_id(F.col("number")).alias("defect_id"), *df.columns)
 
 
-def cap_rows(df: DataFrame, n: int = fv.MAX_RECORDS, order: str = "defect_id") -> DataFrame:
-    """First ``n`` rows by id: a top-n per partition, then one merge."""
-    return df.orderBy(F.length(order), order).limit(n)
+def cap_rows(df: DataFrame, n: int, order: str = "defect_id") -> DataFrame:
+    """First ``n`` rows by id, for callers that ask for a cap: a top-n per partition, then one merge."""
+    return df.orderBy(*id_order(df, order)).limit(n)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -98,13 +105,13 @@ def with_defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def truncated(df: DataFrame) -> DataFrame:
-    """Stored lengths: cut by code points, then strip."""
-    limits = {"raw_description": 1000, "combined_text": 1500, "normalized_text": 500}
+def with_previews(df: DataFrame) -> DataFrame:
+    """Add ``<column>_preview`` for display: cut by code points, then stripped.  The columns
+    themselves stay whole, and everything that searches or audits reads those."""
     return df.withColumns(
         {
-            c: tx.strip(tx.first_chars(F.coalesce(c, F.lit("")), n))
-            for c, n in limits.items()
+            f"{c}_preview": tx.strip(tx.first_chars(F.coalesce(c, F.lit("")), n))
+            for c, n in fv.PREVIEW_CHARS.items()
             if c in df.columns
         }
     )

@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from bugsieve.functions import fixed_values as fv
 from bugsieve.operators import cells as ce
 from bugsieve.operators import kernels as kn
+from bugsieve.operators.reports import id_order
 from bugsieve.operators.skew import join_one_row_per_key
 from bugsieve.session import cut_lineage
 
@@ -34,7 +35,7 @@ def ranked(matches: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
     ``row_number() <= k`` is applied to every map task's output before the shuffle.
     """
-    w = W.partitionBy(by).orderBy(F.desc("score"), "defect_id")
+    w = W.partitionBy(by).orderBy(F.desc("score"), *id_order(matches))
     return matches.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -64,22 +65,12 @@ def _sided(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 class _SharedSide:
-    """A side shown to fit, packed once: ids, and its vectors as matrix chunks.
-
-    Sparse vectors keep only the columns that occur; other columns of the scanned side
-    cannot contribute to an inner product.
-    """
+    """A side shown to fit, packed once: its ids and vectors, sparse ones left sparse."""
 
     CHUNK = 1024
 
     def __init__(self, table: pa.Table):
         self.ids, self.vectors = kn.keys(table["id"]), kn.whole(table["vector"])
-        self.columns = kn.used_columns(self.vectors)
-
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, len(self.ids), self.CHUNK):
-            part = self.vectors.slice(at, self.CHUNK)
-            yield self.ids[at : at + self.CHUNK], kn.to_matrix(part, self.columns)
 
 
 def _shared_side(df: DataFrame):
@@ -151,13 +142,15 @@ def _scan_corpus(q, c, k, min_score, schema) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        chunks = [(ids, x, kn.RunningTopK(len(ids), k, min_score)) for ids, x in own.chunks()]
+        best: dict[int, kn.RunningTopK] = {}  # by the first of the queries it follows
         for part in _pieces(batches, own.CHUNK):
-            y, ids = kn.to_matrix(part["vector"], own.columns), kn.keys(part["id"])
-            for _, x, best in chunks:
-                best.add(0, x @ y.T, ids)
-        for q_ids, _, best in chunks:
-            yield _as_batch(best.found(q_ids), arrow_schema)
+            ids = kn.keys(part["id"])
+            for at, other, scores in kn.products(own.vectors, kn.whole(part["vector"])):
+                if at not in best:
+                    best[at] = kn.RunningTopK(len(scores), k, min_score)
+                best[at].add(0, scores, ids[other : other + scores.shape[1]])
+        for at, found in best.items():
+            yield _as_batch(found.found(own.ids[at : at + len(found.floor)]), arrow_schema)
 
     return _few_tasks(c).mapInArrow(scan, schema)
 
@@ -174,13 +167,12 @@ def _scan_queries(q, c, k, min_score, schema) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        chunks = list(own.chunks())
         for part in _pieces(batches, own.CHUNK):
-            x = kn.to_matrix(part["vector"], own.columns)
-            best = kn.RunningTopK(len(x), k, min_score)
-            for ids, y in chunks:
-                best.add(0, x @ y.T, ids)
-            yield _as_batch(best.found(kn.keys(part["id"])), arrow_schema)
+            ids = kn.keys(part["id"])
+            best = kn.RunningTopK(len(ids), k, min_score)
+            for at, other, scores in kn.products(kn.whole(part["vector"]), own.vectors):
+                best.add(at, scores, own.ids[other : other + scores.shape[1]])
+            yield _as_batch(best.found(ids), arrow_schema)
 
     return q.mapInArrow(scan, schema)
 
@@ -188,7 +180,7 @@ def _scan_queries(q, c, k, min_score, schema) -> DataFrame:
 def _with_local_rank(found: DataFrame) -> DataFrame:
     """All matches of a query come from one task in rank order; number them by a window
     whose input is already at most k rows per query."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "defect_id")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), *id_order(found))
     return found.withColumn("rank", F.row_number().over(w))
 
 
@@ -295,7 +287,7 @@ def _collapse(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, Dat
 
 def _heads(members: DataFrame, n: int) -> DataFrame:
     """The first ``n`` members of each group; every map task sends at most ``n`` of one."""
-    first = W.partitionBy("rep").orderBy("id")
+    first = W.partitionBy("rep").orderBy(*id_order(members, "id"))
     return (
         members.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= n)
         .select("rep", F.col("id").alias("defect_id"))

@@ -156,7 +156,8 @@ def search(
     k: int = fv.SEARCH_DEFAULT_K,
 ) -> DataFrame:
     """Text search: ``requests(query_id, query)`` to ranked records with their scores."""
-    k = min(k, fv.SEARCH_MAX_K)
+    if not 1 <= k <= fv.SEARCH_MAX_K:
+        raise ValueError(f"k is from 1 to {fv.SEARCH_MAX_K}")
     admitted = accepted(admit_for_search(requests))
     queries = encode_text(admitted, encoder, "query").select("query_id", "vector")
     matches = top_k_matches(queries, vectors, k)

@@ -8,26 +8,28 @@ from pyspark.sql import functions as F
 from bugsieve.functions import fixed_values as fv
 from bugsieve.operators import reports as rp
 from bugsieve.operators.clustering import kmeans_labels, relabel
-from bugsieve.operators.encoders import TfIdfEncoder
+from bugsieve.operators.encoders import TfIdfEncoder, hashed_features
 from bugsieve.sources import readers, writers
 
 
 def load_reports(
     spark: SparkSession, fix_path: str, severity_path: str, tracker_root: str | None = None,
-    max_records: int | None = fv.MAX_RECORDS,
+    max_records: int | None = None,
 ) -> DataFrame:
-    """Base tables joined on the description, tracker exports appended, ids minted, capped."""
-    fixes = readers.read_csv_reports(spark, fix_path, readers.FIX_SCHEMA)
+    """Base tables joined on the description, tracker exports appended, ids minted; capped only
+    if ``max_records`` is given."""
+    fixes = readers.read_csv_reports(spark, fix_path, readers.FIX_SCHEMA, positions=True)
     severities = readers.read_csv_reports(spark, severity_path, readers.SEVERITY_SCHEMA)
     out = rp.canonical_base(rp.join_severity(fixes, severities))
-    out = out.withColumns({"_source": F.lit(0), "_file": F.lit("")})
+    out = out.withColumn("_source", F.lit(0))
     if tracker_root:
-        exports = readers.read_tracker_exports(spark, tracker_root)
-        rows = rp.canonical_tracker(exports, "source_file")
-        rows = rows.withColumnRenamed("source_file", "_file").withColumn("_source", F.lit(1))
+        exports = readers.read_tracker_exports(spark, tracker_root, positions=True)
+        rows = rp.canonical_tracker(exports, *readers.POSITION).withColumn("_source", F.lit(1))
         out = rp.union_reports(out, rows)
-    out = out.withColumn("_at", F.monotonically_increasing_id())
-    reports = rp.mint_ids(out, "_source", "_file", "_at").drop("_source", "_file", "_at")
+    # Positions come from the scans, so ids do not depend on how the join moves the rows; the
+    # severities of one text follow in their own order.
+    order = ("_source", *readers.POSITION)
+    reports = rp.mint_ids(out, *order, "severity").drop(*order)
     return rp.cap_rows(reports, max_records) if max_records else reports
 
 
@@ -39,9 +41,9 @@ def describe_reports(raw: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def stored_form(described: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    """The 16 record fields at their stored lengths."""
+    """The 16 record fields, texts whole."""
     fields = [f.name for f in readers.RECORD_SCHEMA.fields]
-    return rp.truncated(described).select(
+    return described.select(
         *[F.col(cluster).cast("int").alias("cluster_id") if f == "cluster_id" else F.col(f) for f in fields]
     )
 
@@ -81,19 +83,21 @@ def build_corpus(
     describe_reports(raw).write.mode("overwrite").parquet(f"{out}/described")
     described = spark.read.parquet(f"{out}/described")
     encoder = TfIdfEncoder.fit(described)
-    encoded = encoder.encode(described.select("defect_id", "tokens"), ml_output="features")
-    encoded.select("defect_id", "vector", "features").write.mode("overwrite").parquet(f"{out}/vectors")
+    encoded = encoder.encode(described.select("defect_id", "tokens"))
+    encoded.select("defect_id", "vector").write.mode("overwrite").parquet(f"{out}/vectors")
     vectors = spark.read.parquet(f"{out}/vectors")
-    labels = kmeans_labels(vectors, k, restarts=restarts, vector="features").select(
+    features = hashed_features(described.select("defect_id", "tokens"))
+    labels = kmeans_labels(features, k, restarts=restarts, vector="features").select(
         "defect_id", "cluster_id"
     )
     clustered = relabel(described.drop("cluster_id").withColumn("cluster_id", F.lit(-1)), labels)
     writers.write_records(stored_form(clustered), f"{out}/records")
     records = spark.read.parquet(f"{out}/records")
     writers.lightweight_index(records).write.mode("overwrite").parquet(f"{out}/index")
+    dimension = encoder.dimension
     writers.index_metadata(
         vectors.withColumn("embedding", F.col("vector.indices")), encoder.name
-    ).withColumn("dimension", F.lit(encoder.dimension)).write.mode("overwrite").json(f"{out}/model")
-    stats = corpus_statistics(records, encoder.dimension)
+    ).withColumn("dimension", F.lit(dimension)).write.mode("overwrite").json(f"{out}/model")
+    stats = corpus_statistics(records, dimension)
     stats.write.mode("overwrite").parquet(f"{out}/statistics")
     return encoder

@@ -39,7 +39,7 @@ def ag1_orders(spark, sf):
     "ag2_cluster_distribution",
     S.with_raw(
         "SELECT cluster_id, count(*) AS n FROM raw GROUP BY cluster_id "
-        "ORDER BY CASE WHEN cluster_id = -1 THEN 999 ELSE cluster_id END, cluster_id LIMIT 20"
+        "ORDER BY cluster_id = -1, cluster_id"
     ),
 )
 def ag2(spark, sf):
@@ -129,8 +129,8 @@ _FOLDED = ", ".join(
     S.with_raw(
         f"""SELECT c.*, m.first_members FROM
               (SELECT cluster_id, count(*) AS n, {_FOLDED} FROM raw WHERE cluster_id <> -1 GROUP BY cluster_id) c
-            JOIN (SELECT cluster_id, string_agg(defect_id, ',' ORDER BY defect_id) AS first_members FROM
-              (SELECT cluster_id, defect_id, row_number() OVER (PARTITION BY cluster_id ORDER BY defect_id) AS r
+            JOIN (SELECT cluster_id, string_agg(defect_id, ',' ORDER BY length(defect_id), defect_id) AS first_members FROM
+              (SELECT cluster_id, defect_id, row_number() OVER (PARTITION BY cluster_id ORDER BY length(defect_id), defect_id) AS r
                FROM raw) WHERE r <= 3 GROUP BY cluster_id) m USING (cluster_id)"""
     ),
 )
@@ -141,7 +141,7 @@ def ag11(spark, sf):
 @query(
     "ag11_first_members",
     S.with_raw(
-        "SELECT cluster_id, defect_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY defect_id) "
+        "SELECT cluster_id, defect_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY length(defect_id), defect_id) "
         "AS INTEGER) AS member FROM raw WHERE cluster_id <> -1 QUALIFY member <= 20"
     ),
 )
@@ -246,7 +246,7 @@ def ag19_plain(spark, sf):
 # --- splits ------------------------------------------------------------------------------
 
 _SPLIT = """split AS (
-  SELECT r.*, CASE WHEN row_number() OVER (ORDER BY defect_id) <=
+  SELECT r.*, CASE WHEN row_number() OVER (ORDER BY length(defect_id), defect_id) <=
     (SELECT count(*) FROM raw) * (SELECT count(*) FROM labels)
       // ((SELECT count(*) FROM labels) + (SELECT count(*) FROM benchmark))
     THEN 'train' ELSE 'test' END AS split FROM raw r)"""
@@ -338,7 +338,7 @@ def _sql_lowercase(column: str) -> str:
     upper = _UPPER.format(c=column)
     return S.with_records(
         f"SELECT count(*) AS total, count(*) FILTER ({upper}) AS with_upper, (SELECT coalesce(string_agg(defect_id, ',' "
-        f"ORDER BY defect_id), '') FROM (SELECT defect_id FROM records WHERE {upper} ORDER BY defect_id LIMIT 3)) "
+        f"ORDER BY {S.by_id()}), '') FROM (SELECT defect_id FROM records WHERE {upper} ORDER BY {S.by_id()} LIMIT 3)) "
         "AS samples FROM records"
     )
 
@@ -379,7 +379,7 @@ def au6_pages(spark, sf):
               round(sum(len(s)) * 100 / sum(len(w)), 2) AS pct, sum(len(s)) / sum(len(w)) < 0.01 AS passed
             FROM (SELECT w, list_filter(w, lambda t: t IN ({S.words(fv.AUDIT_STOPWORDS)})) AS s FROM (
               SELECT list_filter(string_split_regex(raw_description, '\\s+'), lambda t: t <> '') AS w FROM
-                (SELECT raw_description FROM records ORDER BY defect_id LIMIT 500)))"""
+                (SELECT raw_description FROM records)))"""
     ),
 )
 def au7(spark, sf):
@@ -413,7 +413,7 @@ _EXTRA = "(length(steps) > 0 OR length(actual) > 0)"
     S.with_records(
         f"SELECT count(*) FILTER (length({S.strip('combined_text')}) > 0) AS nonempty, "
         + ", ".join(
-            f"count(*) FILTER (contains(combined_text, substr({c}, 1, 30)) OR length({c}) = 0) AS holds_{c}"
+            f"count(*) FILTER (contains(combined_text, {S.strip(c)}) OR length({c}) = 0) AS holds_{c}"
             for c in ("title", "steps", "actual")
         )
         + f", round(avg(length(normalized_text)) FILTER ({_EXTRA}), 4) AS mean_with_extra, "

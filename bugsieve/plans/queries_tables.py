@@ -119,13 +119,13 @@ _STATS = """
   UNION ALL SELECT 'noise_points', '', count(*) FILTER (cluster_id = -1) FROM records
   UNION ALL SELECT 'cluster_distribution', cluster_id::VARCHAR, count(*) FROM records
     WHERE cluster_id <> -1 GROUP BY cluster_id
-  UNION ALL SELECT 'embedding_dimension', '', 5000
+  UNION ALL SELECT 'embedding_dimension', '', count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM described)
   UNION ALL SELECT 'severity_distribution', coalesce(severity, 'unknown'), count(*) FROM records GROUP BY severity"""
 
 
 @query("io7_stats_rows", S.with_records(_STATS))
 def io7(spark, sf):
-    return build.corpus_statistics(tb.records(spark, sf), fv.VOCABULARY_SIZE)
+    return build.corpus_statistics(tb.records(spark, sf), vocabulary(tb.described(spark, sf)).count())
 
 
 @query(
@@ -136,7 +136,8 @@ def io7(spark, sf):
     ),
 )
 def io7_document(spark, sf):
-    return writers.stats_document(build.corpus_statistics(tb.records(spark, sf), fv.VOCABULARY_SIZE))
+    dimension = vocabulary(tb.described(spark, sf)).count()
+    return writers.stats_document(build.corpus_statistics(tb.records(spark, sf), dimension))
 
 
 @query(
@@ -193,7 +194,7 @@ def io12(spark, sf):
     """The corpus vocabulary written as a ranked token file, read back with its ranks."""
     path = scratch_path(spark, "vocabulary")
     counts = vocabulary(tb.described(spark, sf))
-    counts.orderBy(F.desc("n"), "token").select("token").coalesce(1).write.text(path)
+    counts.orderBy(F.desc("n"), "token").select("token").write.text(path)
     return readers.read_vocabulary(spark, path)
 
 
@@ -233,24 +234,48 @@ def pr3(spark, sf):
     return rp.mint_ids(tb.table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
 
 
+@query(
+    "pr3_load_order",
+    """WITH sev AS (SELECT d.text AS t, l.toxic AS s FROM documents d JOIN labels l USING (doc_id))
+       SELECT format('DEF-{:05d}', row_number() OVER (ORDER BY d.doc_id, sev.s NULLS FIRST)) AS defect_id,
+         CAST(sev.s AS VARCHAR) AS severity, length(d.text) AS chars
+       FROM documents d LEFT JOIN sev ON d.text = sev.t""",
+)
+def pr3_load_order(spark, sf):
+    """Documents written as several CSV files, loaded with their severities: ids in file order."""
+    root = scratch_path(spark, "load")
+    d = tb.table(spark, sf, "documents")
+    options = {"header": True, "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(
+        F.col("text").alias("Description"), F.lit(1).alias("Label")
+    ).write.options(**options).csv(f"{root}/fix")
+    d.join(tb.table(spark, sf, "labels"), "doc_id").select(
+        F.col("text").alias("Description"), F.col("toxic").cast("string").alias("Severity")
+    ).write.options(**options).csv(f"{root}/sev")
+    loaded = build.load_reports(spark, f"{root}/fix", f"{root}/sev")
+    return loaded.select("defect_id", "severity", F.length("raw_description").cast("bigint").alias("chars"))
+
+
 @query(
     "pr4_row_cap",
     f"SELECT format('DEF-{{:05d}}', o_orderkey + 1) AS defect_id, o_orderpriority AS severity FROM orders "
-    f"ORDER BY o_orderkey LIMIT {fv.MAX_RECORDS}",
+    "ORDER BY o_orderkey LIMIT 5000",
 )
 def pr4(spark, sf):
     o = tb.table(spark, sf, "orders").select(
         rp.defect_id(F.col("o_orderkey") + 1).alias("defect_id"), F.col("o_orderpriority").alias("severity")
     )
-    return rp.cap_rows(o)
+    return rp.cap_rows(o, 5000)
 
 
 @query(
     "pr5_truncate_fields",
-    S.with_records("SELECT defect_id, raw_description, combined_text, normalized_text FROM records"),
+    S.with_records("SELECT defect_id, " + ", ".join(S.preview(c) for c in fv.PREVIEW_CHARS) + " FROM records"),
 )
 def pr5(spark, sf):
-    return tb.records(spark, sf).select("defect_id", "raw_description", "combined_text", "normalized_text")
+    rows = rp.with_previews(tb.records(spark, sf))
+    return rows.select("defect_id", *[f"{c}_preview" for c in fv.PREVIEW_CHARS])
 
 
 @query(
@@ -405,7 +430,7 @@ def jo1(spark, sf):
     "jo2_vector_label_alignment",
     S.with_raw(
         "SELECT raw.defect_id, raw.severity, e.label AS cluster_id, CAST(len(e.embedding) AS INTEGER) AS dim "
-        "FROM raw JOIN embeddings e ON raw.defect_id = format('DEF-{:05d}', e.vec_id + 1)"
+        "FROM raw JOIN embeddings e ON raw.defect_id = format('DEF-{:05d}', e.vec_id + 99801)"
     ),
 )
 def jo2(spark, sf):
@@ -494,7 +519,7 @@ def wi1(spark, sf):
     "wi2_chain_links",
     S.with_raw(
         "SELECT * FROM (SELECT cluster_id, defect_id AS source, lead(defect_id) OVER (PARTITION BY cluster_id "
-        "ORDER BY defect_id) AS target FROM raw WHERE cluster_id <> -1) WHERE target IS NOT NULL"
+        "ORDER BY length(defect_id), defect_id) AS target FROM raw WHERE cluster_id <> -1) WHERE target IS NOT NULL"
     ),
 )
 def wi2(spark, sf):
@@ -537,7 +562,7 @@ def wi3_totals(spark, sf):
 
 @query(
     "wi5_recent",
-    S.with_raw("SELECT defect_id, severity FROM raw ORDER BY defect_id LIMIT 5"),
+    S.with_raw("SELECT defect_id, severity FROM raw ORDER BY length(defect_id), defect_id LIMIT 5"),
 )
 def wi5(spark, sf):
     return br.recent(tb.raw_reports(spark, sf).select("defect_id", "severity"))
@@ -551,6 +576,6 @@ def wi6(spark, sf):
     return by_count(severity_distribution(_orders(spark, sf)), "severity")
 
 
-@query("wi8_point_lookup", S.with_raw("SELECT defect_id, raw_description FROM raw WHERE defect_id = 'DEF-00042'"))
+@query("wi8_point_lookup", S.with_raw("SELECT defect_id, raw_description FROM raw WHERE defect_id = 'DEF-99842'"))
 def wi8(spark, sf):
-    return br.lookup(tb.raw_reports(spark, sf), "DEF-00042").select("defect_id", "raw_description")
+    return br.lookup(tb.raw_reports(spark, sf), "DEF-99842").select("defect_id", "raw_description")

@@ -118,10 +118,10 @@ def t7(spark, sf):
     "t8_cluster_keywords",
     S.with_records(
         f"""SELECT cluster_id, array_to_string(list_filter(list_transform(list_filter(flatten(
-              list(string_split_regex(title, '\\s+') ORDER BY defect_id)),
+              list(string_split_regex(title, '\\s+') ORDER BY length(defect_id), defect_id)),
               lambda w: length(w) > 3 AND lower(w) NOT IN ({S.words(fv.KEYWORD_STOPWORDS)}))[1:3],
               lambda w: regexp_replace(w, '[^a-zA-Z0-9]', '', 'g')), lambda w: w <> ''), ',') AS keywords
-            FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY defect_id) AS m
+            FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(defect_id), defect_id) AS m
                   FROM records WHERE cluster_id <> -1) WHERE m <= 5 GROUP BY cluster_id"""
     ),
 )
@@ -167,10 +167,10 @@ _TERM = S.strip(f"regexp_replace(text, '(?i){fv.SEARCH_TERM_PATTERN}', '', 'g')"
 @query(
     "t13_question_intent",
     f"SELECT conv_id, turn, {_sql_intent('text')} AS intent, {_TERM} AS search_term "
-    "FROM conversations WHERE role = 'user'",
+    "FROM conversations",
 )
 def t13(spark, sf):
-    q = tb.table(spark, sf, "conversations").filter("role = 'user'")
+    q = tb.table(spark, sf, "conversations")
     return q.select(
         "conv_id", "turn",
         tx.question_intent(F.col("text")).alias("intent"),

@@ -52,7 +52,7 @@ def em1(spark, sf):
 
 
 _USER_TEXTS = (
-    "SELECT printf('C-%d-%d', conv_id, turn) AS query_id, text FROM conversations WHERE role = 'user'"
+    "SELECT printf('C-%d-%d', conv_id, turn) AS query_id, text FROM conversations"
 )
 
 
@@ -140,7 +140,7 @@ def si3(spark, sf):
 
 
 def _sql_pairs(t: float, k: int, pairs: str) -> str:
-    return f"""ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, defect_id)
+    return f"""ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(defect_id), defect_id)
       AS INTEGER) AS rank FROM ({pairs}) WHERE score >= {t} QUALIFY rank <= {k})"""
 
 
@@ -281,12 +281,12 @@ def de2(spark, sf):
     "ag17_mode_per_project",
     S.with_raw(
         "SELECT project, severity AS suggested_severity FROM (SELECT project, severity, count(*) AS n, "
-        "min(defect_id) AS first FROM raw WHERE severity IS NOT NULL GROUP BY ALL) "
+        "min(row(length(defect_id), defect_id)) AS first FROM raw WHERE severity IS NOT NULL GROUP BY ALL) "
         "QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, first) = 1"
     ),
 )
 def ag17(spark, sf):
-    r = tb.raw_reports(spark, sf).withColumn("rank", F.col("defect_id"))
+    r = tb.raw_reports(spark, sf).withColumn("rank", F.struct(F.length("defect_id"), "defect_id"))
     return tr.vote_severity(r, "project")
 
 
@@ -338,8 +338,8 @@ _NULLS = {f: "CAST(NULL AS VARCHAR)" for f, _, _ in fv.REQUIRED_FIELDS}
 _FORM_FIELDS = {**_NULLS, "title": "i.title", "description": "i.description"}
 _ANALYZE_TEXTS = (
     "SELECT printf('C-%d-%d', conv_id, turn) AS query_id, concat_ws(' ', nullif(substr(text, 1, 50), ''), "
-    "nullif(text, '')) AS text FROM conversations WHERE role = 'user' "
-    f"AND length({S.strip('concat_ws(chr(32), substr(text, 1, 50), text)')}) >= 10"
+    "nullif(text, '')) AS text FROM conversations "
+    f"WHERE length({S.strip('concat_ws(chr(32), substr(text, 1, 50), text)')}) >= 10"
 )
 _QUERY_SUMMARY = (
     "concat_ws(' ', nullif(i.title, ''), " + S.sentences("i.description", 15) + "[1] || '.', "
@@ -396,7 +396,7 @@ def en4(spark, sf):
 _ENHANCE_TEXTS = (
     "SELECT printf('C-%d-%d', conv_id, turn) AS query_id, "
     + S.strip("substr(text, 1, 50) || ' ' || text || '  '")
-    + f" AS text FROM conversations WHERE role = 'user' AND length({S.strip('substr(text, 1, 50) || text')}) >= 5"
+    + f" AS text FROM conversations WHERE length({S.strip('substr(text, 1, 50) || text')}) >= 5"
 )
 _I_TITLE = f"CASE WHEN {S.is_missing('i.title')} THEN {S.title('i.description')} ELSE i.title END"
 _ENHANCED = f"CASE WHEN starts_with({_I_TITLE}, '[ENHANCED]') THEN {_I_TITLE} ELSE '[ENHANCED] ' || {_I_TITLE} END"

@@ -15,8 +15,8 @@ def strip(x: str) -> str:
 
 def title(x: str) -> str:
     line = strip(f"split_part({strip(x)}, chr(10), 1)")
-    cut = f"regexp_replace(substr({line}, 1, 120), '(?i){fv.TITLE_PREFIX}', '')"
-    return f"coalesce(nullif({cut}, ''), '{fv.UNTITLED}')"
+    bare = f"regexp_replace({line}, '(?i){fv.TITLE_PREFIX}', '')"
+    return f"coalesce(nullif({bare}, ''), '{fv.UNTITLED}')"
 
 
 def mask(x: str) -> str:
@@ -51,7 +51,12 @@ def section(x: str, name: str) -> str:
         for p in fv.SECTION_PATTERNS[name]
     )
     body = f"string_split_regex(CASE {cases} END, '(?i){fv.NEXT_HEADER}')[1]"
-    return f"coalesce(substr({strip(body)}, 1, 500), '')"
+    return f"coalesce({strip(body)}, '')"
+
+
+def by_id(x: str = "defect_id") -> str:
+    """Order of ids by their numbers."""
+    return f"length({x}), {x}"
 
 
 def is_missing(x: str) -> str:
@@ -99,7 +104,7 @@ def decision(x: str) -> str:
 
 
 RAW = """raw AS (
-  SELECT format('DEF-{:05d}', d.doc_id + 1) AS defect_id, d.text AS raw_description,
+  SELECT format('DEF-{:05d}', d.doc_id + 99801) AS defect_id, d.text AS raw_description,
     CASE WHEN l.toxic = 1 THEN 'critical' WHEN l.quality = 1 THEN 'normal'
          WHEN l.quality = 0 THEN 'minor' END AS severity,
     l.quality AS fix_label,
@@ -151,17 +156,13 @@ DESCRIBED = (
 )
 
 
-def _cut(c: str, n: int) -> str:
-    return f"{strip(f'substr({c}, 1, {n})')} AS {c}"
+def preview(c: str) -> str:
+    return f"{strip(f'substr({c}, 1, {fv.PREVIEW_CHARS[c]})')} AS {c}_preview"
 
 
-RECORDS = (
-    "records AS MATERIALIZED (SELECT * REPLACE ("
-    + ", ".join([_cut(_D, 1000), _cut("combined_text", 1500), _cut("normalized_text", 500)])
-    + f"), {placeholder('defect_id')} AS decision FROM described)"
-)
+RECORDS = f"records AS MATERIALIZED (SELECT *, {placeholder('defect_id')} AS decision FROM described)"
 VECTORS = """vectors AS (
-  SELECT format('DEF-{:05d}', vec_id + 1) AS defect_id, embedding::DOUBLE[] AS vector,
+  SELECT format('DEF-{:05d}', vec_id + 99801) AS defect_id, embedding::DOUBLE[] AS vector,
     label AS cluster_id FROM embeddings)"""
 VECTOR_QUERIES = """wobbled AS (
   SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x, i: x * (1 +
@@ -192,18 +193,17 @@ def top_matches(k: int, queries: str = "queries", corpus: str = "vectors") -> st
   SELECT q.query_id, v.defect_id, round(list_dot_product(q.vector, v.vector), 9) AS score
   FROM {queries} q CROSS JOIN {corpus} v),
 matches AS MATERIALIZED (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, defect_id) AS INTEGER)
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(defect_id), defect_id) AS INTEGER)
     AS rank FROM scored QUALIFY rank <= {k})"""
 
 
 # --- TF-IDF stated relationally --------------------------------------------------------
 
-TFIDF = f"""tf AS MATERIALIZED (
+TFIDF = """tf AS MATERIALIZED (
   SELECT defect_id, token, count(*) AS n
   FROM (SELECT defect_id, unnest(tokens) AS token FROM described) GROUP BY ALL),
 vocabulary AS (
-  SELECT token, sum(n) AS total, count(*) AS df FROM tf GROUP BY token
-  ORDER BY total DESC, token LIMIT {fv.VOCABULARY_SIZE}),
+  SELECT token, sum(n) AS total, count(*) AS df FROM tf GROUP BY token),
 idf AS (
   SELECT token, ln(((SELECT count(*) FROM described) + 1.0::DOUBLE) / (df + 1)) AS idf FROM vocabulary),
 weights AS (SELECT defect_id, token, n * idf AS w FROM tf JOIN idf USING (token)),
@@ -236,10 +236,10 @@ scored AS (
   FROM ({source}) q CROSS JOIN described d
   LEFT JOIN hits h ON h.query_id = q.query_id AND h.defect_id = d.defect_id),
 matches AS MATERIALIZED (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, defect_id) AS INTEGER)
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(defect_id), defect_id) AS INTEGER)
     AS rank FROM scored QUALIFY rank <= {k})"""
 
 
 INCOMING = """incoming AS (
   SELECT printf('C-%d-%d', conv_id, turn) AS report_id, substr(text, 1, 50) AS title,
-    text AS description FROM conversations WHERE role = 'user')"""
+    text AS description FROM conversations)"""

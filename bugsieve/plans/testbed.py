@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from bugsieve.functions.decisions import placeholder_decision
 from bugsieve.operators.encoders import unit_vector
-from bugsieve.operators.reports import defect_id, truncated
+from bugsieve.operators.reports import defect_id
 from bugsieve.plans.build import describe_reports
 from bugsieve.session import spread
 from bugsieve.sources.readers import parse_report_text
 
 
+#: Added to row numbers, so that the ids of the checks pass from five digits to six.
+FIRST_ID = 99_801
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -29,7 +33,7 @@ def raw_reports(spark: SparkSession, sf: str) -> DataFrame:
         F.substring("source", 4, 9).cast("int")
     )
     return spread(table(spark, sf, "documents")).join(labels, "doc_id", "left").select(
-        defect_id(F.col("doc_id") + 1).alias("defect_id"),
+        defect_id(F.col("doc_id") + FIRST_ID).alias("defect_id"),
         F.col("text").alias("raw_description"),
         severity.alias("severity"),
         F.lit(None).cast("int").alias("fixing_time"),
@@ -41,20 +45,20 @@ def raw_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid reports with every derived column, untruncated."""
+    """Valid reports with every derived column."""
     return describe_reports(raw_reports(spark, sf))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """As stored: truncated texts, and a display decision for listings."""
-    return truncated(described(spark, sf)).withColumn(
+    """As stored, and a display decision for listings."""
+    return described(spark, sf).withColumn(
         "decision", placeholder_decision(F.col("defect_id"))
     )
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
-        defect_id(F.col("vec_id") + 1).alias("defect_id"),
+        defect_id(F.col("vec_id") + FIRST_ID).alias("defect_id"),
         F.col("embedding").alias("vector"),
         F.col("label").alias("cluster_id"),
     )
@@ -73,8 +77,8 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incoming_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """User turns of the conversations as free-text reports."""
-    turns = table(spark, sf, "conversations").filter("role = 'user'").select(
+    """Turns of the conversations as free-text reports."""
+    turns = table(spark, sf, "conversations").select(
         F.format_string("C-%d-%d", "conv_id", "turn").alias("report_id"), "text"
     )
     return parse_report_text(turns).drop("text")

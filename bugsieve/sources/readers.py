@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,11 +61,28 @@ _CORRUPT = "_corrupt_record"
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
-def read_csv_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+#: Columns that say where a row was read; in their order, rows stand as in the files.
+POSITION = ("_file", "_block", "_at")
+
+
+def _position() -> list[Column]:
+    """File, block and place of a row, taken at the scan.  Within a block rows are read in
+    order, by one task, so the place needs to grow only there."""
+    return [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    ]
+
+
+def read_csv_reports(
+    spark: SparkSession, path: str, schema: T.StructType, positions: bool = False
+) -> DataFrame:
     """Quoted multi-line CSV with a header.
 
     Columns are taken by header name and typed by ``schema``, so extra or reordered
-    columns in the file do no harm and no inference pass is needed.
+    columns in the file do no harm and no inference pass is needed.  ``positions`` adds
+    the columns ``POSITION``.
     """
     raw = spark.read.csv(path, **_CSV)
     names = {c.strip(): c for c in raw.columns}
@@ -72,7 +91,7 @@ def read_csv_reports(spark: SparkSession, path: str, schema: T.StructType) -> Da
          else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
-    return raw.select(*picked)
+    return raw.select(*picked, *(_position() if positions else []))
 
 
 def tracker_files(spark: SparkSession, root: str, glob: str = "*_bugs.csv") -> DataFrame:
@@ -95,8 +114,10 @@ def tracker_files(spark: SparkSession, root: str, glob: str = "*_bugs.csv") -> D
     )
 
 
-def read_tracker_exports(spark: SparkSession, root: str, glob: str = "*_bugs.csv") -> DataFrame:
-    """All ``*_bugs.csv`` files below ``root``, unified.
+def read_tracker_exports(
+    spark: SparkSession, root: str, glob: str = "*_bugs.csv", positions: bool = False
+) -> DataFrame:
+    """All ``*_bugs.csv`` files below ``root``, unified, each row with its ``source_file``.
 
     Files are grouped by header layout and each layout is one scan.  Layouts without a
     ``Description`` column are skipped; unreadable rows are dropped, not fatal.
@@ -104,7 +125,7 @@ def read_tracker_exports(spark: SparkSession, root: str, glob: str = "*_bugs.csv
     layouts = tracker_files(spark, root, glob).groupBy("header").agg(F.collect_list("file").alias("files"))
     out = None
     for layout in layouts.orderBy("header").toLocalIterator():
-        columns = [c.strip().strip('"') for c in (layout["header"] or "").split(",")]
+        columns = [c.strip() for c in next(csv.reader([layout["header"] or ""]), [])]
         if "Description" not in columns:
             continue
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -120,11 +141,15 @@ def read_tracker_exports(spark: SparkSession, root: str, glob: str = "*_bugs.csv
                 for f in TRACKER_SCHEMA.fields
             ],
             F.col("_metadata.file_path").alias("source_file"),
+            *(_position() if positions else []),
         )
         out = part if out is None else out.unionByName(part)
     if out is None:
-        source = T.StructField("source_file", T.StringType())
-        return spark.createDataFrame([], T.StructType([*TRACKER_SCHEMA.fields, source]))
+        more = [T.StructField("source_file", T.StringType())]
+        if positions:
+            kinds = (T.StringType(), T.LongType(), T.LongType())
+            more += [T.StructField(c, k) for c, k in zip(POSITION, kinds)]
+        return spark.createDataFrame([], T.StructType([*TRACKER_SCHEMA.fields, *more]))
     return out
 
 
@@ -139,9 +164,10 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """Vocabulary file, one token per line; ``rank`` is the line number from 1."""
-    lines = spark.read.text(path).select(F.col("value").alias("token"))
-    return number_rows(lines, name="rank")
+    """Vocabulary, one token per line, in one file or in parts that follow each other by name;
+    ``rank`` is the line number from 1."""
+    lines = spark.read.text(path).select(F.col("value").alias("token"), *_position())
+    return number_rows(lines, *POSITION, name="rank").drop(*POSITION)
 
 
 def parse_report_text(df: DataFrame, text: str = "text") -> DataFrame:

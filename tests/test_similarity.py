@@ -197,7 +197,8 @@ def test_encoder(spark):
         [("a", ["x", "x", "y"]), ("b", ["y", "z"]), ("c", [])], "defect_id string, tokens array<string>"
     )
     encoder = TfIdfEncoder.fit(docs)
-    assert encoder.counts.vocabulary == ["x", "y", "z"]
+    assert [(r["token"], r["term"]) for r in encoder.terms.orderBy("term").collect()] == [("x", 0), ("y", 1), ("z", 2)]
+    assert encoder.dimension == 3 and TfIdfEncoder.fit(docs, size=2).dimension == 2
     out = {r["defect_id"]: r["vector"] for r in encoder.encode(docs).collect()}
     idf = np.log(4 / np.array([2, 3, 2]))
     want = np.array([2, 1, 0]) * idf
@@ -208,6 +209,35 @@ def test_encoder(spark):
     assert encoder.encode(unknown).head()["vector"]["indices"] == []
 
 
+def test_long_rows_are_counted_apart(spark):
+    many = [f"w{i % 150}" for i in range(450)]
+    docs = spark.createDataFrame([(1, many), (2, ["w1", "q"])], "defect_id int, tokens array<string>")
+    encoder = TfIdfEncoder.fit(docs)
+    row = {r["defect_id"]: r["vector"] for r in encoder.encode(docs).collect()}[1]
+    assert len(row["indices"]) == 149 and row["indices"] == sorted(row["indices"])  # w1 is in all rows
+    assert np.allclose(row["values"], 1 / np.sqrt(149))
+
+
+def test_copies_of_rare_tokens_are_found(spark):
+    """Every token of the corpus counts, however rare it is."""
+    rows = [(f"DEF-{i:05d}", [f"common{j}" for j in range(30)] + [f"own{i}"]) for i in range(60)]
+    rows += [("DEF-99999", ["seldom", "seen"]), ("DEF-100000", ["seen", "seldom"])]
+    docs = spark.createDataFrame(rows, "defect_id string, tokens array<string>")
+    vectors = TfIdfEncoder.fit(docs).encode(docs).select("defect_id", "vector")
+    found = {(r["query_id"], r["defect_id"]) for r in sm.near_duplicates(vectors, 0.99).collect()}
+    assert ("DEF-99999", "DEF-100000") in found and ("DEF-100000", "DEF-99999") in found
+
+
+def test_ties_go_by_number(spark):
+    """Ids pass from five digits to six: the smaller number comes first, not the smaller text."""
+    corpus = spark.createDataFrame(
+        [(f"DEF-{i:05d}", [1.0, 0.0]) for i in range(99_996, 100_004)], "defect_id string, vector array<double>"
+    )
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    found = sm.top_k_matches(asked, corpus, 5).orderBy("rank").collect()
+    assert [r["defect_id"] for r in found] == [f"DEF-{i:05d}" for i in range(99_996, 100_001)]
+
+
 def test_plugged_encoder(spark):
     df = spark.createDataFrame([(i, "ab" * i) for i in range(5)], "i int, normalized_text string")
 

@@ -131,9 +131,9 @@ def test_defaults_and_truncation(spark):
         [(None, None, None, " " + "é" * 1200, None)],
         "fixing_time int, fix_label int, logs string, raw_description string, severity string",
     )
-    row = rp.truncated(rp.with_defaults(df)).head()
+    row = rp.with_previews(rp.with_defaults(df)).head()
     assert (row["fixing_time"], row["fix_label"], row["logs"], row["severity"]) == (0, 0, "", None)
-    assert row["raw_description"] == "é" * 999
+    assert row["raw_description_preview"] == "é" * 999 and row["raw_description"] == " " + "é" * 1200
 
 
 # --- listings -----------------------------------------------------------------------------
@@ -170,8 +170,8 @@ def test_pages(listing):
     after = [r["defect_id"] for r in br.page_after(listing, "DEF-00050", 25).collect()]
     assert after == [f"DEF-{i:05d}" for i in range(51, 61)]
     assert tuple(br.page_totals(listing, 25).head()) == (60, 3)
-    assert br.page_of(listing, 1, 500).count() == 60
-    for page, size in ((0, 10), (1, 0), (-1, 5)):
+    assert br.page_of(listing, 1, 100).count() == 60
+    for page, size in ((0, 10), (1, 0), (-1, 5), (1, 101)):
         with pytest.raises(ValueError):
             br.page_of(listing, page, size)
 
@@ -208,9 +208,9 @@ def test_chain_links_span_partitions(spark):
 # --- distributions and audits ------------------------------------------------------------
 
 
-def test_cluster_distribution_places_noise_at_999(spark):
+def test_cluster_distribution_places_noise_last(spark):
     df = spark.createDataFrame([(-1,), (1000,), (2,), (2,), (None,)], "cluster_id int")
-    assert [tuple(r) for r in di.cluster_distribution(df).collect()] == [(2, 2), (-1, 2), (1000, 1)]
+    assert [tuple(r) for r in di.cluster_distribution(df).collect()] == [(2, 2), (1000, 1), (-1, 2)]
     assert di.cluster_count(df).head()["clusters"] == 2
 
 

@@ -65,15 +65,15 @@ def test_strict_sections_need_word_boundaries(column):
     assert column(["string only", "STR: - do it"], strict) == ["", "do it"]
 
 
-def test_section_cut_at_500(column):
+def test_section_is_whole(column):
     out = column(["Environment " + "é" * 600], lambda c: tx.extract_section(c, "environment"))
-    assert out == ["é" * 500]
+    assert out == ["é" * 600]
 
 
 def test_titles(column):
     texts = ["Bugzilla x", "Bug - - q", "bug", "", "  \n\n ", None, "\n\n  Issue# first \n second", "x" * 130]
     assert column(texts, tx.extract_title) == [
-        "zilla x", "- q", fv.UNTITLED, fv.UNTITLED, fv.UNTITLED, fv.UNTITLED, "first", "x" * 120,
+        "zilla x", "- q", fv.UNTITLED, fv.UNTITLED, fv.UNTITLED, fv.UNTITLED, "first", "x" * 130,
     ]
 
 
@@ -152,13 +152,13 @@ def py_section(text, name):
     for pattern in fv.SECTION_PATTERNS[name]:
         parts = re.split(f"(?i){pattern}", text, maxsplit=1)
         if len(parts) == 2:
-            return re.split(f"(?i){fv.NEXT_HEADER}", parts[1], maxsplit=1)[0].strip()[:500]
+            return re.split(f"(?i){fv.NEXT_HEADER}", parts[1], maxsplit=1)[0].strip()
     return ""
 
 
 def py_title(text):
     lines = [line for line in map(str.strip, text.split("\n")) if line]
-    title = re.sub(f"(?i){fv.TITLE_PREFIX}", "", lines[0][:120]) if lines else ""
+    title = re.sub(f"(?i){fv.TITLE_PREFIX}", "", lines[0]) if lines else ""
     return title or fv.UNTITLED
 
 

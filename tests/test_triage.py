@@ -103,7 +103,10 @@ def test_enhancement_and_search(spark, corpus):
     found = tr.search(asked, records, vectors, encoder, k=3).orderBy("rank").collect()
     assert [r["query_id"] for r in found] == ["q1"] * 3
     assert all(TOPICS[1] in r["title"] for r in found)
-    assert tr.search(asked, records, vectors, encoder, k=500).count() == 41  # k is at most 50
+    assert tr.search(asked, records, vectors, encoder, k=50).count() == 41
+    for k in (0, 51):
+        with pytest.raises(ValueError):
+            tr.search(asked, records, vectors, encoder, k=k)
     turned_away = tr.rejected(tr.admit_for_search(asked)).collect()
     assert [(r["query_id"], r["reasons"]) for r in turned_away] == [("q2", ["Query too short"])]
 
