@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from bugsieve.llm.common import text_batches
 
-STORE = 250_000  # words whose ids a task keeps at the start of a block
-BLOCK = 2_000_000  # words of texts, repeats included, that are looked up and merged together
+STORE = 200_000  # words whose ids a task keeps at the start of a block
+BLOCK = 1_000_000  # words of texts, repeats included, that are looked up and merged together
 _NONE = np.iinfo(np.int64).max
 
 
@@ -68,9 +68,11 @@ def merge_words(words: Iterable[bytes], ranks: Ranks) -> list[bytes]:
     words = list(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     n = int(sizes.sum())
+    small = np.int32 if n < 1 << 31 else np.int64
     symbol = ranks.single[np.frombuffer(b"".join(words), np.uint8)]  # -1: part of the symbol before
-    owner = np.repeat(np.arange(len(words)), sizes)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # -1 at the ends of a word
+    owner = np.repeat(np.arange(len(words), dtype=small), sizes)
+    after = np.arange(1, n + 1, dtype=small)  # -1 at the end of a word, and before at its start
+    before = np.arange(-1, n - 1, dtype=small)
     ends = np.cumsum(sizes)
     after[ends[sizes > 0] - 1] = -1
     before[(ends - sizes)[sizes > 0]] = -1
@@ -168,15 +170,18 @@ class Encoder:
         return b"".join(map(self.ranks.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, also_decode: bool = False) -> Iterator[pa.RecordBatch]:
     held: list[tuple[pa.Array, list[np.ndarray]]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         encoder.merge_new()
         for rows, numbered in held:
-            made = pa.array([encoder.spelled(x) for x in numbered], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows, made], names=["_row", "_out"])
+            ids = [encoder.spelled(x) for x in numbered]
+            columns = [rows, pa.array(ids, pa.binary())]
+            if also_decode:
+                columns.append(pa.array([encoder.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "_out", "_back"][: len(columns)])
         held.clear()
         encoder.forget()
 
@@ -205,6 +210,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: s
     return _mapped(docs, text, name, lambda batches: _encoded(batches, Encoder(ranks.value, pattern)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, ``ids`` and ``decoded``: encoded, and decoded again, in one pass."""
+    text_batches(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(Ranks(path))
+    inner = docs.select(F.col(f"`{text}`").alias("_in"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in keep]).alias("_row"))
+    made = inner.select("_row", *[F.lit(None).cast("binary").alias(c) for c in ("_out", "_back")])
+    done = inner.mapInArrow(lambda batches: _encoded(batches, Encoder(ranks.value, pattern), True), made.schema)
+    return done.select(
+        *[F.col("_row").getField(c).alias(c) for c in keep], F.col("_out").alias("ids"), F.col("_back").alias("decoded")
+    )
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``docs`` with the binary column ``name``: the bytes that ``ids`` stand for."""
     ranks = docs.sparkSession.sparkContext.broadcast(Ranks(path))

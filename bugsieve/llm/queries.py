@@ -192,8 +192,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_bpe_merge_replay")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    both = bpe.decode(ids.select("doc_id", "ids"), path)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

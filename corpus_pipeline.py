@@ -51,8 +51,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and of the text decoded from them."""
     ship_package(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return bpe.decode(ids, path).select(
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
