@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bugsieve.functions import fixed_values as fv
-from bugsieve.functions.text import strip, unicode_pattern
+from bugsieve.functions.decisions import decide
+from bugsieve.functions.text import let, strip, unicode_pattern
 from bugsieve.operators.distributions import severity_distribution
+from bugsieve.operators.encoders import unit_vector
 from bugsieve.operators.numbering import number_rows
 from bugsieve.operators.reports import id_order
 
@@ -46,6 +48,29 @@ def common_ids(a: DataFrame, b: DataFrame, key: str = "defect_id") -> DataFrame:
     return a.select(key).intersect(b.select(key))
 
 
+def split_overlap_count(df: DataFrame, key: str = "defect_id") -> DataFrame:
+    """Ids that occur in more than one split, as one metric row."""
+    several = df.groupBy(key).agg(F.countDistinct("split").alias("s"))
+    return several.agg(F.count_if(F.col("s") > 1).cast("double").alias("value")).select(
+        F.lit("all").alias("split"), F.lit("id_overlap").alias("metric"), "value"
+    )
+
+
+def split_shapes(df: DataFrame, vectors: DataFrame, vector: str = "vector", key: str = "defect_id") -> DataFrame:
+    """Rows and dimension of the vectors of every split, as metric rows."""
+    sized = df.select(key, "split").join(vectors.select(key, F.size(vector).alias("d")), key)
+    row = sized.groupBy("split").agg(
+        F.count("*").cast("double").alias("vector_rows"), F.max("d").cast("double").alias("vector_dimension")
+    )
+    return row.unpivot(["split"], ["vector_rows", "vector_dimension"], "metric", "value")
+
+
+def write_splits(df: DataFrame, vectors: DataFrame, path: str, key: str = "defect_id") -> None:
+    """Records and vectors of both splits under ``path``, one folder per split."""
+    df.write.mode("overwrite").partitionBy("split").parquet(f"{path}/records")
+    vectors.join(df.select(key, "split"), key).write.mode("overwrite").partitionBy("split").parquet(f"{path}/vectors")
+
+
 def split_metadata(df: DataFrame) -> DataFrame:
     """Size and ratio of every split and its severity counts, in long form."""
     by_severity = severity_distribution(df, "split")
@@ -237,6 +262,61 @@ def dimension_audit(vectors: DataFrame, declared: int | None = None, vector: str
     return vectors.agg(low.alias("min_dim"), high.alias("max_dim"), ok.alias("passed"))
 
 
+def dimension_sides(vectors: DataFrame, declared: DataFrame, queries: DataFrame, vector: str = "vector") -> DataFrame:
+    """Smallest and largest dimension of stored vectors, of the declared metadata (a table with
+    ``dimension``) and of encoded queries, and whether a side is of one dimension, that of all."""
+    parts = [
+        df.select(F.lit(side).alias("side"), size.alias("d"))
+        for side, df, size in (
+            ("stored", vectors, F.size(vector)),
+            ("declared", declared, F.col("dimension").cast("int")),
+            ("queries", queries, F.size(vector)),
+        )
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("side").agg(
+        F.min("d").alias("min_dim"), F.max("d").alias("max_dim")
+    )
+    every = W.partitionBy()  # over three rows
+    same = F.min("min_dim").over(every) == F.max("max_dim").over(every)
+    return rows.withColumn("passed", same)
+
+
+CASES = {0.90: "duplicate", 0.65: "possible_duplicate", 0.35: "new_defect"}
+
+
+def decision_cases(vectors: DataFrame, vector: str = "vector") -> DataFrame:
+    """The search contract's three score cases, made from every stored vector: a query with that
+    score against it, and whether the decision is the one the contract names."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+
+    def product(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def across(unit: Column) -> Column:
+        """A unit vector orthogonal to ``unit``: its mirror image without the part along it."""
+        turned = F.reverse(unit)
+        along = product(unit, turned)
+        return let(F.zip_with(turned, unit, lambda a, b: a - along * b), unit_vector)
+
+    rows = vectors.select(let(unit_vector(v), lambda u: F.struct(u.alias("u"), across(u).alias("w"))).alias("x"))
+    made = rows.select(
+        "x.u",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(want).alias("want"),
+                        F.zip_with("x.u", "x.w", lambda a, b: a * s + b * (1 - s * s) ** 0.5).alias("q"),
+                    )
+                    for s, want in CASES.items()
+                ]
+            )
+        ).alias("case"),
+    )
+    decision = decide(F.round(product(F.col("u"), F.col("case.q")), 9))
+    return made.agg(F.count("*").alias("cases"), F.count_if(decision == F.col("case.want")).alias("cases_right"))
+
+
 def index_coverage(records: DataFrame, vectors: DataFrame, indexed: DataFrame) -> DataFrame:
     """Row counts of records, stored vectors and indexed vectors, and whether they agree."""
     tagged = None

@@ -133,7 +133,7 @@ def recent(df: DataFrame, n: int = 5, order: str = "defect_id") -> DataFrame:
     return df.orderBy(*id_order(df, order)).limit(n)
 
 
-def lookup(df: DataFrame, key: str, column: str = "defect_id") -> DataFrame:
+def lookup(df: DataFrame, key: str | int, column: str = "defect_id") -> DataFrame:
     """One report by id; the equality is pushed into the parquet scan."""
     return df.filter(F.col(column) == key)
 

@@ -174,15 +174,14 @@ def block_rows_of(q: DataFrame, c: DataFrame | None, block_rows: int = BLOCK_ROW
     def blocks(n: str):
         return F.ceil(F.col(n) / block_rows).cast("int")
 
-    # One row per cell: pivots, vocabulary terms and hash buckets all have a bounded number.
+    # One row per cell.  Terms and hash buckets grow with the data, so this is an ordinary join;
+    # a cell that holds very many rows is skewed on the rows' side, which adaptive execution splits.
     sizes = c.groupBy("cell").agg(F.count("*").alias("nc"))
     if corpus is None:
         sizes = sizes.filter("nc > 1").withColumn("nq", F.col("nc"))
     else:
         sizes = sizes.join(q.groupBy("cell").agg(F.count("*").alias("nq")), "cell")
-    sizes = F.broadcast(
-        sizes.select("cell", blocks("nc").alias("c_blocks"), blocks("nq").alias("q_blocks"))
-    )
+    sizes = sizes.select("cell", blocks("nc").alias("c_blocks"), blocks("nq").alias("q_blocks"))
 
     def placed(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.col(own + "s")).cast("int")

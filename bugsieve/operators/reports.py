@@ -17,6 +17,7 @@ BASE_NAMES = {
     "Severity": "severity",
 }
 TRACKER_NAMES = {"Description": "raw_description", "Priority": "severity", "Summary": "title"}
+FAN_OUT = 100_000  # rows made from one array at a time
 KEPT = ("raw_description", "severity", "title", "fixing_time", "fix_label")
 
 
@@ -45,10 +46,14 @@ def join_severity(
     left = fixes.withColumn("_h", F.xxhash64(key))
     on = (F.col("_h") == F.col("_rh")) & (F.col(key) == F.col("_text"))
     joined = left.join(right, on, "left").select(*fixes.columns, F.explode_outer("_found").alias("_f"))
-    times = F.sequence(F.lit(1).cast("bigint"), F.coalesce(F.col("_f._n"), F.lit(1)).cast("bigint"))
-    return joined.select(
-        *fixes.columns, F.col("_f.Severity").alias("Severity"), F.explode(times).alias("_t")
-    ).drop("_t")
+    # n rows out of one: first the chunks, then the rows of each, so no array is long.
+    n, chunk = F.coalesce(F.col("_f._n"), F.lit(1)), F.lit(FAN_OUT)
+    starts = F.sequence(F.lit(0).cast("bigint"), n - 1, chunk.cast("bigint"))
+    chunks = joined.select(
+        *fixes.columns, F.col("_f.Severity").alias("Severity"), n.alias("_n"), F.explode(starts).alias("_s")
+    )
+    rows = F.sequence(F.lit(1).cast("bigint"), F.least(chunk.cast("bigint"), F.col("_n") - F.col("_s")))
+    return chunks.select(*fixes.columns, "Severity", F.explode(rows).alias("_t")).drop("_t")
 
 
 def canonical_base(df: DataFrame) -> DataFrame:

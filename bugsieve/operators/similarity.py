@@ -45,9 +45,14 @@ def _payload_bytes(df: DataFrame) -> Column:
     return F.size("vector") * 8 + 64
 
 
+def payload(df: DataFrame) -> int:
+    """Bytes of all vectors together: measured, not guessed."""
+    return df.agg(F.sum(_payload_bytes(df)).alias("bytes")).head()["bytes"] or 0
+
+
 def fits(df: DataFrame, budget: int = BROADCAST_BYTES) -> bool:
-    """Whether all vectors together stay within ``budget`` bytes: measured, not guessed."""
-    return (df.agg(F.sum(_payload_bytes(df)).alias("bytes")).head()["bytes"] or 0) <= budget
+    """Whether all vectors together stay within ``budget`` bytes."""
+    return payload(df) <= budget
 
 
 def _match_schema(query: T.DataType, corpus: T.DataType) -> T.StructType:
@@ -93,16 +98,21 @@ def top_k_matches(
     * Queries fit in memory: they are broadcast, the corpus is scanned once in place and
       every task emits at most k rows per query.
     * Corpus fits: it is broadcast and each query is finished where it is, no shuffle.
-    * Neither fits: both sides are partitioned into cells (see :mod:`.cells`) and each
-      block pair emits at most k rows per query.
+    * Neither fits: the queries are cut into batches that do, and the corpus is scanned once
+      per batch.  Nothing of the corpus is copied or shuffled.
+    * Neither fits, vectors are sparse and a score is asked for: both sides are partitioned
+      into the cells of their rarest terms (see :mod:`.cells`).
     """
     q, c = _sided(queries, query_key, vector), _sided(corpus, corpus_key, vector)
     schema = _match_schema(q.schema["id"].dataType, c.schema["id"].dataType)
     q = cut_lineage(q)  # measured, then used: computed once
-    if fits(q, budget):
+    volume = payload(q)
+    if volume <= budget:
         return ranked(_scan_corpus(q, c, k, min_score, schema), k)
     if fits(c, budget):
         return _with_local_rank(_scan_queries(q, c, k, min_score, schema))
+    if min_score is None or not ce.vector_is_sparse(c):
+        return ranked(_scan_in_batches(q, c, k, min_score, schema, -(-volume // budget)), k)
 
     def kernel(a: pa.Table, b: pa.Table) -> dict:
         return kn.block_top_k(a, b, k, min_score)
@@ -152,14 +162,19 @@ def _scan_corpus(q, c, k, min_score, schema) -> DataFrame:
         for at, found in best.items():
             yield _as_batch(found.found(own.ids[at : at + len(found.floor)]), arrow_schema)
 
-    return _few_tasks(c).mapInArrow(scan, schema)
+    return c.mapInArrow(scan, schema)
 
 
-def _few_tasks(df: DataFrame) -> DataFrame:
-    """Each task of a scan emits k rows per query, so a table with very many splits is
-    read by several splits per task; nothing is shuffled."""
-    limit = 8 * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(limit) if df.rdd.getNumPartitions() > limit else df
+def _scan_in_batches(q, c, k, min_score, schema, batches: int) -> DataFrame:
+    """One scan of the corpus per batch of queries; the batches are of one size on average, so
+    half as many queries more than the budget asks for make each of them fit."""
+    batches = max(1, int(batches * 1.5))
+    part = F.pmod(F.xxhash64("id"), F.lit(batches))
+    found = None
+    for b in range(batches):
+        scan = _scan_corpus(q.filter(part == b), c, k, min_score, schema)
+        found = scan if found is None else found.unionByName(scan)
+    return found
 
 
 def _scan_queries(q, c, k, min_score, schema) -> DataFrame:
@@ -226,9 +241,17 @@ def near_duplicates(
     key: str = "defect_id",
     vector: str = "vector",
     block_rows: int = ce.BLOCK_ROWS,
+    exact: bool = False,
+    target: float = 0.97,
 ) -> DataFrame:
     """Every report against all others: its best ``k`` with score of at least ``min_score``.
 
+    Sparse vectors meet in cells of their rarest terms, which is exact.  No rule prunes spread
+    dense vectors exactly, so those meet in the buckets of random hyperplanes: as many tables
+    that a pair at ``min_score`` meets with probability ``target``, closer pairs more surely;
+    scores are exact.  ``exact`` compares dense vectors in pivot cells instead, at a cost that
+    grows with the square of the rows.
+
     Equal vectors are joined once: groups of copies become one row each, the groups are
     matched inside cells, and the matches are handed back to the members.  Each group's
     answer is a list of at most ``k + 1`` members, so a group holding a third of all rows
@@ -242,9 +265,12 @@ def near_duplicates(
         return kn.block_top_k(a, b, k + 1, min_score)
 
     id_type = reps.schema["id"].dataType
-    found = ce.map_blocks(
-        ce.cell_rows(reps, None, min_score, block_rows), kernel, _match_schema(id_type, id_type)
-    )
+    if exact or ce.vector_is_sparse(reps):
+        meeting = ce.cell_rows(reps, None, min_score, block_rows)
+    else:
+        planes, tables = _planes(reps, min_score, target, block_rows)
+        meeting = ce.block_rows_of(ce.hash_cells(reps, planes, tables), None, block_rows)
+    found = ce.map_blocks(meeting, kernel, _match_schema(id_type, id_type))
     # Copies match each other even where no other group shares their cells.
     entries = "vector.values" if ce.vector_is_sparse(groups) else "vector"
     squares = F.transform(entries, lambda x: x.cast("double") * x.cast("double"))
@@ -276,6 +302,17 @@ def near_duplicates(
     )
 
 
+def _planes(rows: DataFrame, min_score: float, target: float, block_rows: int, seed: int = 42) -> tuple[np.ndarray, int]:
+    """Random directions for hash tables, and how many tables: buckets of about a block, and a
+    pair at ``min_score`` shares one with probability ``target``."""
+    n = rows.count()
+    bits = max(1, int(np.ceil(np.log2(max(n, 2) / block_rows))))
+    agree = (1 - np.arccos(np.clip(min_score, -1.0, 1.0)) / np.pi) ** bits
+    tables = int(np.ceil(np.log(1 - target) / np.log(max(1e-12, 1 - agree)))) if agree < target else 1
+    first = rows.select(F.size("vector").alias("d")).limit(1).head()
+    return np.random.default_rng(seed).normal(size=(tables * bits, first["d"] if first else 1)), tables
+
+
 def _collapse(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors ``(group, vector, rep, n)`` and the members ``(id, rep)`` of each."""
     rows = cut_lineage(_sided(vectors, key, vector).withColumn("group", F.xxhash64("vector")))

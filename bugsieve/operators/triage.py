@@ -243,15 +243,26 @@ def enhance(
     )
 
 
-def decision_distribution(
+def stored_decisions(
     vectors: DataFrame,
     duplicate: float = fv.DUPLICATE_THRESHOLD,
     possible: float = fv.POSSIBLE_DUPLICATE_THRESHOLD,
 ) -> DataFrame:
-    """How many stored reports are duplicates of another one, by best score."""
+    """``(defect_id, decision, confidence)`` of every stored report, by the best score it has
+    with another one; a score below ``possible`` counts as none."""
     best = near_duplicates(vectors, possible, 1).select(F.col("query_id").alias("defect_id"), "score")
-    return (
-        vectors.select("defect_id").join(best, "defect_id", "left")
-        .groupBy(de.decide(F.col("score"), duplicate, possible).alias("decision"))
-        .agg(F.count("*").alias("n"))
+    return vectors.select("defect_id").join(best, "defect_id", "left").select(
+        "defect_id",
+        de.decide(F.col("score"), duplicate, possible).alias("decision"),
+        F.round(F.coalesce("score", F.lit(0.0)), 4).alias("confidence"),
     )
+
+
+def decision_distribution(
+    vectors: DataFrame,
+    duplicate: float = fv.DUPLICATE_THRESHOLD,
+    possible: float = fv.POSSIBLE_DUPLICATE_THRESHOLD,
+) -> DataFrame:
+    """How many stored reports are duplicates of another one, by best score."""
+    decided = stored_decisions(vectors, duplicate, possible)
+    return decided.groupBy("decision").agg(F.count("*").alias("n"))

@@ -12,8 +12,10 @@ from bugsieve.operators.reports import defect_id
 from bugsieve.operators.similarity import top_k_matches
 from bugsieve.plans import sql as S
 from bugsieve.plans import testbed as tb
-from bugsieve.plans.queries_vectors import map_nodes
+from bugsieve.plans.queries_vectors import decided_records, map_nodes
 from bugsieve.plans.registry import query
+from bugsieve.session import scratch_path
+from bugsieve.sources import writers
 
 # --- distributions ---------------------------------------------------------------------
 
@@ -173,14 +175,14 @@ def ag12_raw(spark, sf):
 
 @query(
     "ag13_executive_summary",
-    S.with_records(
+    S.with_decided(
         "SELECT count(*) AS total, count(*) FILTER (decision = 'duplicate') AS duplicates, "
         "CAST(floor(count(*) FILTER (decision = 'duplicate') * 100 / count(*) + 0.5) AS BIGINT) AS duplicate_pct, "
-        "count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS clusters FROM records"
+        "count(DISTINCT cluster_id) FILTER (cluster_id <> -1) AS clusters FROM decided_records"
     ),
 )
 def ag13(spark, sf):
-    return di.executive_summary(tb.records(spark, sf))
+    return di.executive_summary(decided_records(spark, sf))
 
 
 @query(
@@ -267,12 +269,24 @@ def sp1(spark, sf):
     S.with_raw(
         """SELECT split, 'size' AS metric, CAST(count(*) AS DOUBLE) AS value FROM split GROUP BY split
            UNION ALL SELECT split, 'ratio', round(count(*) / (SELECT count(*) FROM raw), 4) FROM split GROUP BY split
-           UNION ALL SELECT split, 'severity:' || coalesce(severity, 'unknown'), count(*) FROM split GROUP BY ALL""",
-        _SPLIT,
+           UNION ALL SELECT split, 'severity:' || coalesce(severity, 'unknown'), count(*) FROM split GROUP BY ALL
+           UNION ALL SELECT 'all', 'id_overlap', 0
+           UNION ALL SELECT split, 'vector_rows', count(*) FROM split JOIN vectors USING (defect_id) GROUP BY split
+           UNION ALL SELECT split, 'vector_dimension', max(len(vector)) FROM split JOIN vectors USING (defect_id)
+             GROUP BY split""",
+        _SPLIT, S.VECTORS,
     ),
 )
 def sp2(spark, sf):
-    return au.split_metadata(_split(spark, sf))
+    """Metadata of the splits, from their written records and vectors."""
+    path = scratch_path(spark, "splits")
+    au.write_splits(_split(spark, sf), tb.vectors(spark, sf).select("defect_id", "vector"), path)
+    records, vectors = (spark.read.parquet(f"{path}/{name}") for name in ("records", "vectors"))
+    return (
+        au.split_metadata(records)
+        .unionByName(au.split_overlap_count(records))
+        .unionByName(au.split_shapes(records, vectors.drop("split")))
+    )
 
 
 # --- audits --------------------------------------------------------------------------------
@@ -453,11 +467,14 @@ def au11(spark, sf):
 
 @query(
     "au12_dimensions",
-    "SELECT CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim, "
-    "min(len(embedding)) = max(len(embedding)) AND max(len(embedding)) = 64 AS passed FROM embeddings",
+    "WITH s AS (SELECT side, CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim "
+    "FROM embeddings, (VALUES ('stored'), ('declared'), ('queries')) AS t(side) GROUP BY side) "
+    "SELECT *, (SELECT min(min_dim) = max(max_dim) FROM s) AS passed FROM s",
 )
 def au12(spark, sf):
-    return au.dimension_audit(tb.vectors(spark, sf), 64, "vector")
+    """Stored vectors, the metadata written for them, and encoded queries."""
+    declared = writers.index_metadata(tb.table(spark, sf, "embeddings"), "stored")
+    return au.dimension_sides(tb.vectors(spark, sf), declared, tb.vector_queries(spark, sf))
 
 
 @query(
@@ -474,11 +491,16 @@ def au13(spark, sf):
     "au14_search_contract",
     S.with_vectors(
         "SELECT count(*) AS queries, count(*) FILTER (n <> 5) AS wrong_size, "
-        "count(*) FILTER (low < -1.000001 OR high > 1.000001) AS out_of_range FROM "
+        "count(*) FILTER (low < -1.000001 OR high > 1.000001) AS out_of_range, "
+        "(SELECT count(*) FROM vectors) * 3 AS cases, (SELECT count(*) FROM vectors) * 3 AS cases_right FROM "
         "(SELECT query_id, count(*) AS n, min(score) AS low, max(score) AS high FROM matches GROUP BY query_id)",
         S.top_matches(5),
     ),
 )
 def au14(spark, sf):
+    """Match sizes and score ranges; and the decision cases 0.90, 0.65 and 0.35, each made from
+    every stored vector and a direction that is orthogonal to it."""
     v = tb.vectors(spark, sf)
-    return au.search_contract(top_k_matches(tb.vector_queries(spark, sf), v), 5, v.count())
+    rows = au.search_contract(top_k_matches(tb.vector_queries(spark, sf), v), 5, v.count())
+    cases = au.decision_cases(v)
+    return rows.withColumns({c: cases.select(c).scalar() for c in cases.columns})

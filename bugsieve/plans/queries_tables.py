@@ -17,6 +17,7 @@ from bugsieve.operators.similarity import top_k_matches
 from bugsieve.plans import build
 from bugsieve.plans import sql as S
 from bugsieve.plans import testbed as tb
+from bugsieve.plans.queries_vectors import decided_records
 from bugsieve.plans.registry import query
 from bugsieve.session import scratch_path
 from bugsieve.sources import readers, writers
@@ -153,16 +154,17 @@ def io8(spark, sf):
 
 @query(
     "io9_csv_export",
-    S.with_records(
+    S.with_decided(
         f"""SELECT defect_id AS "ID", title AS "Title", {S.fold('severity')} AS "Severity",
-          decision AS "Decision", cluster_id::VARCHAR AS "Cluster", '' AS "Confidence", '' AS "Date"
-        FROM records"""
+          decision AS "Decision", cluster_id::VARCHAR AS "Cluster", confidence AS "Confidence", '' AS "Date"
+        FROM decided_records"""
     ),
 )
 def io9(spark, sf):
     path = scratch_path(spark, "export")
-    writers.write_csv_export(tb.records(spark, sf), path)
-    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).fillna("")
+    writers.write_csv_export(decided_records(spark, sf), path)
+    back = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).fillna("")
+    return back.withColumn("Confidence", F.col("Confidence").cast("double"))
 
 
 @query(
@@ -365,13 +367,13 @@ def fi5(spark, sf):
 
 @query(
     "fi6_screen_filter",
-    S.with_records(
-        f"SELECT defect_id, decision FROM records WHERE (contains(lower(title), 'th') OR "
+    S.with_decided(
+        f"SELECT defect_id, decision FROM decided_records WHERE (contains(lower(title), 'th') OR "
         f"contains(lower(defect_id), 'th')) AND decision = 'new_defect' AND {S.fold('severity')} = 'Medium'"
     ),
 )
 def fi6(spark, sf):
-    kept = br.screen_reports(tb.records(spark, sf), "th", "new_defect", "Medium")
+    kept = br.screen_reports(decided_records(spark, sf), "th", "new_defect", "Medium")
     return kept.select("defect_id", "decision")
 
 
@@ -578,4 +580,8 @@ def wi6(spark, sf):
 
 @query("wi8_point_lookup", S.with_raw("SELECT defect_id, raw_description FROM raw WHERE defect_id = 'DEF-99842'"))
 def wi8(spark, sf):
-    return br.lookup(tb.raw_reports(spark, sf), "DEF-99842").select("defect_id", "raw_description")
+    """The id is computed from the row number, so the lookup asks for the number: the equality
+    reaches the scan, and no other table is read."""
+    number = int("DEF-99842".removeprefix("DEF-")) - tb.FIRST_ID
+    found = br.lookup(tb.table(spark, sf, "documents"), number, "doc_id")
+    return found.select(rp.defect_id(F.col("doc_id") + tb.FIRST_ID).alias("defect_id"), F.col("text").alias("raw_description"))

@@ -139,25 +139,14 @@ def si3(spark, sf):
     return m.withColumn("score", F.round("score", 4))
 
 
-def _sql_pairs(t: float, k: int, pairs: str) -> str:
-    return f"""ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(defect_id), defect_id)
-      AS INTEGER) AS rank FROM ({pairs}) WHERE score >= {t} QUALIFY rank <= {k})"""
-
-
-_DENSE_PAIRS = """SELECT a.defect_id AS query_id, b.defect_id, round(list_dot_product(a.vector, b.vector), 9) AS score
-  FROM vectors a JOIN vectors b ON a.defect_id <> b.defect_id"""
-_TEXT_PAIRS = """SELECT a.defect_id AS query_id, b.defect_id, round(sum(a.w * b.w), 9) AS score
-  FROM units a JOIN units b ON a.token = b.token AND a.defect_id <> b.defect_id GROUP BY ALL"""
-
-
 @query(
     "si4_near_duplicates_vectors",
     S.with_vectors(
-        "SELECT query_id, defect_id, round(score, 4) AS score, rank FROM ranked", _sql_pairs(0.35, 5, _DENSE_PAIRS)
+        "SELECT query_id, defect_id, round(score, 4) AS score, rank FROM ranked", S.ranked_pairs(0.35, 5, S.DENSE_PAIRS)
     ),
 )
 def si4(spark, sf):
-    m = sm.near_duplicates(tb.vectors(spark, sf), 0.35)
+    m = sm.near_duplicates(tb.vectors(spark, sf), 0.35, exact=True)
     return m.withColumn("score", F.round("score", 4))
 
 
@@ -166,7 +155,7 @@ def si4(spark, sf):
     S.with_records(
         "SELECT query_id, defect_id, round(score, 4) AS score, rank FROM ranked",
         S.TFIDF,
-        _sql_pairs(fv.DUPLICATE_THRESHOLD, 5, _TEXT_PAIRS),
+        S.ranked_pairs(fv.DUPLICATE_THRESHOLD, 5, S.TEXT_PAIRS),
     ),
 )
 def si4_text(spark, sf):
@@ -180,7 +169,7 @@ def si4_text(spark, sf):
         f"SELECT {S.decision('s')} AS decision, count(*) AS n FROM (SELECT d.defect_id, coalesce(max(r.score), 0) AS s "
         "FROM described d LEFT JOIN ranked r ON r.query_id = d.defect_id GROUP BY d.defect_id) GROUP BY decision",
         S.TFIDF,
-        _sql_pairs(fv.POSSIBLE_DUPLICATE_THRESHOLD, 1, _TEXT_PAIRS),
+        S.ranked_pairs(fv.POSSIBLE_DUPLICATE_THRESHOLD, 1, S.TEXT_PAIRS),
     ),
 )
 def de3(spark, sf):
@@ -188,6 +177,12 @@ def de3(spark, sf):
     return tr.decision_distribution(vectors)
 
 
+def decided_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored reports with the decision and confidence of their best match."""
+    records, vectors, _ = text_corpus(spark, sf)
+    return records.join(tr.stored_decisions(vectors), "defect_id")
+
+
 def map_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return sm.project_2d(tb.vectors(spark, sf)).drop("vector")
 

@@ -213,6 +213,17 @@ units AS MATERIALIZED (
   WHERE length > 0 AND w <> 0)"""
 
 
+def ranked_pairs(t: float, k: int, pairs: str) -> str:
+    return f"""ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(defect_id), defect_id)
+      AS INTEGER) AS rank FROM ({pairs}) WHERE score >= {t} QUALIFY rank <= {k})"""
+
+
+DENSE_PAIRS = """SELECT a.defect_id AS query_id, b.defect_id, round(list_dot_product(a.vector, b.vector), 9) AS score
+  FROM vectors a JOIN vectors b ON a.defect_id <> b.defect_id"""
+TEXT_PAIRS = """SELECT a.defect_id AS query_id, b.defect_id, round(sum(a.w * b.w), 9) AS score
+  FROM units a JOIN units b ON a.token = b.token AND a.defect_id <> b.defect_id GROUP BY ALL"""
+
+
 def text_queries(source: str) -> str:
     """Unit vectors of ``source(query_id, text)`` under the fitted encoder."""
     return f"""q_tf AS (
@@ -240,6 +251,14 @@ matches AS MATERIALIZED (
     AS rank FROM scored QUALIFY rank <= {k})"""
 
 
+def with_decided(body: str) -> str:
+    """A query over ``decided_records``: the stored reports with their decisions."""
+    judged = f"""decided_records AS (
+      SELECT d.*, {decision('coalesce(r.score, 0)')} AS decision, round(coalesce(r.score, 0.0), 4) AS confidence
+      FROM described d LEFT JOIN ranked r ON r.query_id = d.defect_id)"""
+    return with_records(body, TFIDF, ranked_pairs(fv.POSSIBLE_DUPLICATE_THRESHOLD, 1, TEXT_PAIRS), judged)
+
+
 INCOMING = """incoming AS (
   SELECT printf('C-%d-%d', conv_id, turn) AS report_id, substr(text, 1, 50) AS title,
     text AS description FROM conversations)"""

@@ -59,7 +59,7 @@ def dense(spark):
     return q, c, frame(spark, q, "query_id"), frame(spark, c, "defect_id", doc)
 
 
-PATHS = {"queries shared": 1 << 20, "corpus shared": None, "cells": 0}
+PATHS = {"queries shared": 1 << 20, "corpus shared": None, "batches": 8000}
 
 
 @pytest.mark.parametrize("path", PATHS)
@@ -68,8 +68,7 @@ def test_dense_top_k(dense, path, min_score, monkeypatch):
     q, c, qf, cf = dense
     budget = PATHS[path]
     if path == "corpus shared":  # only the side called second fits
-        calls = []
-        monkeypatch.setattr(sm, "fits", lambda df, b: bool(calls.append(1)) or len(calls) > 1)
+        monkeypatch.setattr(sm, "fits", lambda df, b: True)
         budget = 0
     out = sm.top_k_matches(qf, cf, 5, min_score, budget=budget, block_rows=32)
     assert pairs(out) == brute(q, c, 5, min_score)
@@ -94,7 +93,7 @@ def test_equal_scores_go_to_the_smaller_id(spark):
     qf, cf = frame(spark, c[:2], "query_id"), frame(spark, c, "defect_id", doc).repartition(7)
     want = {(i, doc(j), j + 1) for i in range(2) for j in range(5)}
     assert pairs(sm.top_k_matches(qf, cf)) == want
-    assert pairs(sm.top_k_matches(qf, cf, budget=0, block_rows=8)) == want
+    assert pairs(sm.top_k_matches(qf, cf, budget=100)) == want
 
 
 def test_sparse_top_k_and_prefix_cells(spark):
@@ -116,10 +115,33 @@ def test_near_duplicates_dense_with_a_third_of_copies(spark, t):
     m = clustered(180, seed=9)
     m[::3] = m[0]  # a third of all rows are one report
     m[1::30] = m[1]
-    out = sm.near_duplicates(frame(spark, m, "defect_id", doc), t, 4, block_rows=16)
+    out = sm.near_duplicates(frame(spark, m, "defect_id", doc), t, 4, block_rows=16, exact=True)
     assert pairs(out) == brute(m, m, 4, t, q_name=doc, skip_self=True)
 
 
+def test_near_duplicates_by_hyperplanes(spark):
+    """The default for dense vectors: nearly all pairs are found, and none below the score."""
+    m = clustered(600, seed=10)
+    m[::3] = m[0]
+    df = frame(spark, m, "defect_id", doc)
+    exact = pairs(sm.near_duplicates(df, 0.85, 5, block_rows=16, exact=True))
+    found = pairs(sm.near_duplicates(df, 0.85, 5, block_rows=16))
+    want, got = ({(q, d) for q, d, _ in rows} for rows in (exact, found))
+    assert len(want & got) >= 0.95 * len(want)
+    scores = (m @ m.T).round(9)
+    number = lambda name: int(name.removeprefix("DEF-")) - 1
+    assert all(scores[number(q), number(d)] >= 0.85 for q, d in got)
+
+
+def test_query_batches_are_exact(spark, monkeypatch):
+    m = clustered(150, seed=12)
+    q, c = frame(spark, m[:60], "query_id"), frame(spark, m, "defect_id", doc)
+    whole = pairs(sm.top_k_matches(q, c, 4))
+    assert pairs(sm.top_k_matches(q, c, 4, budget=4000)) == whole
+    plan = sm.top_k_matches(q, c, 4, budget=4000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
 def test_near_duplicates_sparse(spark):
     rng = np.random.default_rng(11)
     m = np.where(rng.random((150, 30)) < 0.2, rng.random((150, 30)), 0)
@@ -139,7 +161,7 @@ def test_hot_keys_take_the_separate_join(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_SHARE", 10)
     m = clustered(120, seed=4)
     m[::3] = m[0]
-    out = sm.near_duplicates(frame(spark, m, "defect_id", doc), 0.8, 3, block_rows=16)
+    out = sm.near_duplicates(frame(spark, m, "defect_id", doc), 0.8, 3, block_rows=16, exact=True)
     assert pairs(out) == brute(m, m, 3, 0.8, q_name=doc, skip_self=True)
     left = spark.range(100).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     sizes = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
