@@ -1,6 +1,7 @@
 """Plain restatements of the contracts, one text or one small table at a time."""
 
 import re
+from collections import Counter
 
 import xxhash
 
@@ -15,7 +16,8 @@ def quality(text):
     text = text or ""
     ws = words(text)
     wins = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
-    hit = {i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(3)}
+    times = Counter(wins)
+    hit = {i + k for i, w in enumerate(wins) if times[w] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if words(x)]
     symbols = sum(c in "#*$%&|<>" for c in text)
     n, chars, dup = len(ws), sum(map(len, ws)), len(lines) - len(set(lines))
