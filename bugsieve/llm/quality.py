@@ -34,7 +34,7 @@ class Limits:
 
     least_words: int = 50
     repeat_percent: int = 50
-    symbols_per_100_words: int = 50
+    symbols_per_100_words: int = 20
     least_word_length: float = 1.5
     most_word_length: float = 20.0
     repeated_line_percent: int = 50

@@ -60,7 +60,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
              len(ls)::BIGINT AS n_lines
       FROM w LEFT JOIN c USING (doc_id)),
-f AS (SELECT *, n_words < 50 AS few, 100 * n_repeat_words > 50 * n_words AS rep, 100 * n_symbols > 50 * n_words AS sym,
+f AS (SELECT *, n_words < 50 AS few, 100 * n_repeat_words > 50 * n_words AS rep, 100 * n_symbols > 20 * n_words AS sym,
              n_words > 0 AND (word_chars / greatest(n_words, 1) < 1.5 OR word_chars / greatest(n_words, 1) > 20) AS len,
              100 * n_dup_lines > 50 * n_lines AS lin FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR rep AS base_failed,

@@ -24,7 +24,7 @@ def quality(text):
     bits = (
         (n < 50)
         | (100 * len(hit) > 50 * n) << 1
-        | (100 * symbols > 50 * n) << 2
+        | (100 * symbols > 20 * n) << 2
         | (n > 0 and not 1.5 <= chars / n <= 20) << 3
         | (100 * dup > 50 * len(lines)) << 4
     )
