@@ -328,10 +328,16 @@ _FI2 = {
     "SELECT conv_id, turn, "
     + ", ".join(f"CASE WHEN {c} THEN '{r}' ELSE '' END AS {n}" for n, (c, r) in _FI2.items())
     + f", CASE WHEN length({S.strip('text')}) = 0 THEN 'Title is required,Description is required' "
-    "ELSE '' END AS form FROM conversations",
+    "ELSE '' END AS form FROM (SELECT conv_id, turn, CASE WHEN conv_id % 8 < 5 THEN "
+    "substr(text, 1, [0, 2, 3, 5, 9][(conv_id % 8 + 1)::INTEGER]) WHEN conv_id % 8 = 5 THEN '   ' ELSE text END AS text "
+    "FROM conversations)",
 )
 def fi2(spark, sf):
-    t = readers.parse_report_text(tb.table(spark, sf, "conversations"))
+    """Turns as reports, many cut so short, or blank, that one rule or more turns them away."""
+    place = (F.col("conv_id") % 8).cast("int")
+    size = F.get(F.array(*[F.lit(n) for n in (0, 2, 3, 5, 9)]), place)
+    text = F.when(place < 5, F.substring(F.col("text"), F.lit(1), size)).when(place == 5, "   ").otherwise(F.col("text"))
+    t = readers.parse_report_text(tb.table(spark, sf, "conversations").withColumn("text", text))
 
     def joined(df, name):
         return df.withColumn(name, F.array_join("reasons", ",")).drop("reasons")
@@ -578,7 +584,11 @@ def wi6(spark, sf):
     return by_count(severity_distribution(_orders(spark, sf)), "severity")
 
 
-@query("wi8_point_lookup", S.with_raw("SELECT defect_id, raw_description FROM raw WHERE defect_id = 'DEF-99842'"))
+@query(
+    "wi8_point_lookup",
+    "SELECT format('DEF-{:05d}', doc_id + 99801) AS defect_id, text AS raw_description FROM documents "
+    "WHERE format('DEF-{:05d}', doc_id + 99801) = 'DEF-99842'",
+)
 def wi8(spark, sf):
     """The id is computed from the row number, so the lookup asks for the number: the equality
     reaches the scan, and no other table is read."""

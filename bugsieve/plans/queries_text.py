@@ -164,13 +164,22 @@ def _sql_intent(x: str) -> str:
 _TERM = S.strip(f"regexp_replace(text, '(?i){fv.SEARCH_TERM_PATTERN}', '', 'g')")
 
 
+#: One question for each intent, put before a turn's text.
+QUESTIONS = [
+    "show me every cluster", "which cluster is it", "what severity has", "a duplicate decision on", "how many are like",
+    "cassandra reports on", "firefox reports on", "hadoop reports on", "spark reports on", "vscode reports on",
+    "hbase reports on", "thunderbird reports on", "which dataset has", "find", "help with", "and",
+]
+
+
 @query(
     "t13_question_intent",
-    f"SELECT conv_id, turn, {_sql_intent('text')} AS intent, {_TERM} AS search_term "
-    "FROM conversations",
+    f"SELECT conv_id, turn, {_sql_intent('text')} AS intent, {_TERM} AS search_term FROM (SELECT conv_id, turn, "
+    f"[{S.words(QUESTIONS)}][(conv_id % 16 + 1)::INTEGER] || ' ' || text AS text FROM conversations)",
 )
 def t13(spark, sf):
-    q = tb.table(spark, sf, "conversations")
+    question = F.get(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("conv_id") % 16).cast("int"))
+    q = tb.table(spark, sf, "conversations").withColumn("text", F.concat(question, F.lit(" "), F.col("text")))
     return q.select(
         "conv_id", "turn",
         tx.question_intent(F.col("text")).alias("intent"),

@@ -103,8 +103,16 @@ def decision(x: str) -> str:
     )
 
 
-RAW = """raw AS (
-  SELECT format('DEF-{:05d}', d.doc_id + 99801) AS defect_id, d.text AS raw_description,
+HEADERS = [
+    "Steps to reproduce", "STM", "Reproduction steps", "How to reproduce", "Expected behavior", "Should display",
+    "Actual outcome", "What happened", "Instead", "Environment", "Platform", "OS version", "Browser version",
+    "System info", "Build ID", "User agent", "Log file", "Stack trace", "Error message", "Traceback", "Console output",
+]
+RAW = f"""raw AS (
+  SELECT format('DEF-{{:05d}}', d.doc_id + 99801) AS defect_id,
+    CASE WHEN d.doc_id % 24 < 21 THEN substr(d.text, 1, length(d.text) // 2) || chr(10)
+      || [{words(HEADERS)}][(d.doc_id % 24 + 1)::INTEGER] || ': ' || substr(d.text, length(d.text) // 2 + 1)
+      ELSE d.text END AS raw_description,
     CASE WHEN l.toxic = 1 THEN 'critical' WHEN l.quality = 1 THEN 'normal'
          WHEN l.quality = 0 THEN 'minor' END AS severity,
     l.quality AS fix_label,
@@ -164,6 +172,13 @@ RECORDS = f"records AS MATERIALIZED (SELECT *, {placeholder('defect_id')} AS dec
 VECTORS = """vectors AS (
   SELECT format('DEF-{:05d}', vec_id + 99801) AS defect_id, embedding::DOUBLE[] AS vector,
     label AS cluster_id FROM embeddings)"""
+CLUSTERED = """mixed AS (
+  SELECT e.vec_id, e.label, list_transform(range(1, len(e.embedding) + 1), lambda i: CASE WHEN e.label < 7
+    THEN a.embedding[i]::DOUBLE + (0.5::DOUBLE + (e.vec_id % 5) * 0.2::DOUBLE) * e.embedding[i]::DOUBLE
+    ELSE e.embedding[i]::DOUBLE END) AS v FROM embeddings e JOIN embeddings a ON a.vec_id = e.label),
+vectors AS MATERIALIZED (
+  SELECT format('DEF-{:05d}', vec_id + 99801) AS defect_id, label AS cluster_id,
+    list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS vector FROM mixed)"""
 VECTOR_QUERIES = """wobbled AS (
   SELECT vec_id AS query_id, list_transform(embedding::DOUBLE[], lambda x, i: x * (1 +
     CASE WHEN label < 4 THEN 0.3::DOUBLE WHEN label < 7 THEN 1.2::DOUBLE ELSE 3.0::DOUBLE END

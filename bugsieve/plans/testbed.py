@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bugsieve.functions.decisions import placeholder_decision
@@ -21,8 +21,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Headers put into the middle of documents, one for each section pattern; in the patterns' order.
+HEADERS = [
+    "Steps to reproduce", "STM", "Reproduction steps", "How to reproduce", "Expected behavior", "Should display",
+    "Actual outcome", "What happened", "Instead", "Environment", "Platform", "OS version", "Browser version",
+    "System info", "Build ID", "User agent", "Log file", "Stack trace", "Error message", "Traceback", "Console output",
+]
+#: Of so many consecutive documents the first ``len(HEADERS)`` get a header.
+HEADER_CYCLE = 24
+
+
+def with_header(doc_id: Column, text: Column) -> Column:
+    """The text with a section header between its halves, for most documents."""
+    half = F.floor(F.length(text) / 2).cast("int")
+    place = (doc_id % HEADER_CYCLE).cast("int")
+    header = F.get(F.array(*[F.lit(h) for h in HEADERS]), place)
+    parted = F.concat(
+        F.substring(text, F.lit(1), half), F.lit("\n"), header, F.lit(": "), F.substring(text, half + 1, F.length(text))
+    )
+    return F.when(place < len(HEADERS), parted).otherwise(text)
+
+
 def raw_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as reports; labels give severity and fix label to some of them."""
+    """Documents as reports, most with a section header inside; labels give severity and fix
+    label to some of them."""
     labels = table(spark, sf, "labels")
     severity = (
         F.when(F.col("toxic") == 1, "critical")
@@ -34,7 +56,7 @@ def raw_reports(spark: SparkSession, sf: str) -> DataFrame:
     )
     return spread(table(spark, sf, "documents")).join(labels, "doc_id", "left").select(
         defect_id(F.col("doc_id") + FIRST_ID).alias("defect_id"),
-        F.col("text").alias("raw_description"),
+        with_header(F.col("doc_id"), F.col("text")).alias("raw_description"),
         severity.alias("severity"),
         F.lit(None).cast("int").alias("fixing_time"),
         F.col("quality").alias("fix_label"),
@@ -64,6 +86,21 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def clustered_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The given vectors, those of the first seven labels drawn to one vector each, some closer
+    than others: dense clusters with borders, and noise around them."""
+    e = table(spark, sf, "embeddings")
+    anchors = e.filter("vec_id < 10").select(F.col("vec_id").alias("label"), F.col("embedding").alias("a"))
+    weight = 0.5 + (F.col("vec_id") % 5) * 0.2
+    drawn = F.zip_with("a", "embedding", lambda a, x: a.cast("double") + weight * x.cast("double"))
+    mixed = F.when(F.col("label") < 7, drawn).otherwise(F.transform("embedding", lambda x: x.cast("double")))
+    return e.join(F.broadcast(anchors), "label").select(  # ten anchors
+        defect_id(F.col("vec_id") + FIRST_ID).alias("defect_id"),
+        unit_vector(mixed).alias("vector"),
+        F.col("label").alias("cluster_id"),
+    )
+
+
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector, perturbed lightly, clearly or strongly by its label."""
     amount = F.when(F.col("label") < 4, 0.3).when(F.col("label") < 7, 1.2).otherwise(3.0)
