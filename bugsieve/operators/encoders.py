@@ -88,22 +88,38 @@ class TfIdfEncoder:
 
 def _term_counts(rows: DataFrame) -> DataFrame:
     """``(_row, token, n)``: occurrences of each distinct token, counted within the row."""
-    counts = F.transform(
-        F.array_distinct("tokens"),
-        lambda t: F.struct(t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("n")),
+    small = rows.filter(F.size("tokens") <= _COUNTED_IN_PLACE).select(
+        "_row", F.inline(let(F.array_sort("tokens"), _runs))
     )
-    small = rows.filter(F.size("tokens") <= _COUNTED_IN_PLACE).select("_row", F.inline(counts))
     large = (
         rows.filter(F.size("tokens") > _COUNTED_IN_PLACE)
         .select("_row", F.explode("tokens").alias("token"))
         .groupBy("_row", "token")
-        .agg(F.count("*").cast("int").alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     return small.unionByName(large)
 
 
-#: Rows of up to so many tokens are counted inside the row; the time for that is quadratic.
-_COUNTED_IN_PLACE = 200
+def _runs(ordered: Column) -> Column:
+    """The distinct tokens of a sorted array and how often each occurs: equal ones are neighbours."""
+
+    def counted(distinct: Column) -> Column:
+        return let(
+            F.transform(distinct, lambda t: F.array_position(ordered, t)),
+            lambda starts: F.transform(
+                distinct,
+                lambda t, i: F.struct(
+                    t.alias("token"),
+                    (F.coalesce(F.get(starts, i + 1), F.size(ordered) + 1) - F.get(starts, i)).cast("bigint").alias("n"),
+                ),
+            ),
+        )
+
+    return let(F.array_distinct(ordered), counted)
+
+
+#: Rows of up to so many tokens are counted inside the row, by scans of its sorted tokens.
+_COUNTED_IN_PLACE = 1000
 
 
 def hashed_features(docs: DataFrame, tokens: str = "tokens", output: str = "features", bits: int = 18) -> DataFrame:

@@ -57,10 +57,11 @@ def _contract(edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stars = kn.contracted(list(zip(*(batch[c].to_pylist() for c in names))))
-            columns = list(zip(*stars)) or [[] for _ in names]
+            if not batch.num_rows:
+                continue
+            stars = kn.contracted(*(kn.keys(batch[c]) for c in names))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=f.type) for c, f in zip(columns, schema)], schema=schema
+                [pa.array(c).cast(f.type) for c, f in zip(stars, schema)], schema=schema
             )
 
     return edges.mapInArrow(run, edges.schema)

@@ -195,21 +195,28 @@ def minimum_forest(weight: np.ndarray, limit: int) -> list[tuple[int, int, int]]
     return edges
 
 
-def contracted(edges: list[tuple]) -> list[tuple]:
-    """Edges ``(group, u, v)`` as stars: each node with the smallest node it is linked to."""
-    root: dict = {}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for group, u, v in edges:
-        a, b = (group, u), (group, v)
-        root.setdefault(a, a)
-        root.setdefault(b, b)
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(x[0], x[1], find(x)[1]) for x in root if find(x) != x]
+def contracted(group: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges as stars ``(group, node, smallest node of its component)``, all nodes but the smallest.
+
+    Labels start as the nodes themselves, numbered in order; each pass takes the smaller label over
+    every edge and then the label's own label, so paths halve, until nothing changes.
+    """
+    groups, at_group = np.unique(group, return_inverse=True)
+    ids, at_id = np.unique(np.concatenate([u, v]), return_inverse=True)
+    both = np.concatenate([at_group, at_group]) * len(ids) + at_id
+    nodes, place = np.unique(both, return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return groups[nodes[moved] // len(ids)], ids[nodes[moved] % len(ids)], ids[nodes[label[moved]] % len(ids)]

@@ -232,7 +232,7 @@ def test_encoder(spark):
 
 
 def test_long_rows_are_counted_apart(spark):
-    many = [f"w{i % 150}" for i in range(450)]
+    many = [f"w{i % 150}" for i in range(1500)]
     docs = spark.createDataFrame([(1, many), (2, ["w1", "q"])], "defect_id int, tokens array<string>")
     encoder = TfIdfEncoder.fit(docs)
     row = {r["defect_id"]: r["vector"] for r in encoder.encode(docs).collect()}[1]
