@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from bugsieve.functions import fixed_values as fv
 from bugsieve.functions.text import fold_severity
+from bugsieve.operators.numbering import number_rows
 from bugsieve.operators.reports import id_order
 from bugsieve.session import cut_lineage
 
 
+DEEP_ROWS = 100_000
+
+
 def severity_is(severity: str) -> Column:
     return F.lower("severity") == severity.lower()
 
@@ -102,9 +106,15 @@ def page_of(df: DataFrame, page: int, per_page: int = 20, order: str = "defect_i
     """One page in id order.
 
     ``orderBy().limit()`` is a bounded top-n in each partition; only ``page * per_page``
-    rows reach the final merge, never the whole table.
+    rows reach the final merge, never the whole table.  Pages beyond ``DEEP_ROWS`` rows are cut
+    out of the numbered ids instead, so no task merges that many rows; ids must be unique there.
     """
     n = _check_page(page, per_page)
+    if page * n > DEEP_ROWS:
+        places = df.select(F.struct(*id_order(df, order)).alias("place"))
+        wanted = F.col("_number").between((page - 1) * n + 1, page * n)
+        ids = number_rows(places, "place", name="_number").filter(wanted).select(f"place.{order}")
+        return df.join(F.broadcast(ids), order, "left_semi")  # at most a page of ids
     return df.orderBy(*id_order(df, order)).limit(page * n).offset((page - 1) * n)
 
 

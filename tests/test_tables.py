@@ -176,6 +176,15 @@ def test_pages(listing):
             br.page_of(listing, page, size)
 
 
+def test_deep_pages_are_the_same(spark, monkeypatch):
+    ids = [f"DEF-{i:05d}" for i in range(99_950, 100_050)]
+    df = spark.createDataFrame([(i,) for i in ids], "defect_id string").repartition(5)
+    monkeypatch.setattr(br, "DEEP_ROWS", 10)
+    for page in (1, 3, 4, 8):
+        got = sorted((r["defect_id"] for r in br.page_of(df, page, 15).collect()), key=lambda x: (len(x), x))
+        assert got == ids[(page - 1) * 15 : page * 15]
+
+
 def test_lookup_reaches_the_scan(spark, listing, tmp_path):
     writers.write_records(listing, str(tmp_path / "r"))
     found = br.lookup(spark.read.parquet(str(tmp_path / "r")), "DEF-00042").select("defect_id", "title")
