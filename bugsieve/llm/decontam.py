@@ -32,7 +32,8 @@ from bugsieve.session import cut_lineage
 
 WINDOW = 10
 GRAM = 5
-_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words while A-Z are still in the text.
+_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _POSITION_BITS = 12
 CHUNK = 1 << (_POSITION_BITS - 1)  # words a chunk adds; with its overlap a position fits the bits
 BLOCK_BYTES = 16 << 20
@@ -40,11 +41,26 @@ BLOCK_BYTES = 16 << 20
 
 def words(text: Column) -> Column:
     """Words of letters, digits and anything beyond ASCII, with A-Z in lower case."""
-    split = F.split(lower_ascii(F.coalesce(text, F.lit(""))), _BREAKS)
+
+    def bare(split: Column) -> Column:
+        first = F.when(F.get(split, F.lit(0)) == "", 2).otherwise(1)
+        return F.slice(split, first, _count(split))
+
+    # Most words have no capital letter and stay as they are.
+    lowered = lambda w: F.when(w == F.lower(w), w).otherwise(lower_ascii(w))
+    return F.transform(let(F.split(F.coalesce(text, F.lit("")), _BREAKS), bare), lowered)
+
+
+def n_words(text: Column) -> Column:
+    """How many words a text has."""
+    return let(F.split(F.coalesce(text, F.lit("")), _BREAKS), _count).cast("long")
+
+
+def _count(split: Column) -> Column:
+    """Parts of a split text without an empty first and last one."""
     n = F.size(split)
-    first = F.when(F.get(split, F.lit(0)) == "", 2).otherwise(1)
-    last = n - F.when(F.get(split, n - 1) == "", 1).otherwise(0)
-    return F.slice(split, first, F.greatest(last - first + 1, F.lit(0)))
+    outer = F.when(F.get(split, F.lit(0)) == "", 1).otherwise(0) + F.when(F.get(split, n - 1) == "", 1).otherwise(0)
+    return F.greatest(n - outer, F.lit(0))
 
 
 def _fingerprints(ws: Column, gram: int, window: int) -> Column:
@@ -62,8 +78,8 @@ def _fingerprints(ws: Column, gram: int, window: int) -> Column:
         n = F.size(grams)
         return F.array_distinct(
             F.transform(
-                F.sequence(F.lit(1), F.greatest(n - span + 1, F.lit(1))),
-                lambda i: F.array_min(F.slice(grams, i, span)),
+                F.sequence(F.lit(0), F.greatest(n - span, F.lit(0))),
+                lambda i: F.least(*[F.get(grams, i + k) for k in range(span)]),
             )
         )
 
@@ -227,7 +243,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     every = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.xxhash64(f"`{text}`").alias("th"),
-        F.size(words(F.col(f"`{text}`"))).cast("long").alias("n_words"),
+        n_words(F.col(f"`{text}`")).alias("n_words"),
     )
     joined = every.join(found, every["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     return joined.select(
