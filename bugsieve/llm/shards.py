@@ -26,7 +26,6 @@ PROBES = 32  # per splitter and round
 TOLERANCE = 0.001  # of a shard's bytes
 _HALF = 1 << 63
 _ROW_BITS = 63
-_TOP = 1 << (64 + _ROW_BITS)
 
 
 def _number(hash_: int, row: int) -> int:
@@ -52,16 +51,28 @@ def _interval(cuts: list[int], low: int = 0) -> Column:
     return F.when(_below(cuts[mid]), _interval(cuts[:mid], low)).otherwise(_interval(cuts[mid + 1 :], low + mid + 1))
 
 
-def _counts(keys: DataFrame, cuts: list[int]) -> dict[int, tuple[int, int, int]]:
-    """Per interval between cuts: bytes, and the first and last place in it."""
-    place = F.struct("_h", "_r")
+def _counts(keys: DataFrame, cuts: list[int]) -> dict[int, tuple[int, int, int, int]]:
+    """Per interval between cuts: bytes, rows, and places that enclose its rows.
+
+    Only numbers are aggregated, so a round is one scan with a hash table of a few hundred rows.
+    """
     rows = (
         keys.withColumn("_i", _interval(cuts))
         .groupBy("_i")
-        .agg(F.sum("_size").alias("bytes"), F.min(place).alias("first"), F.max(place).alias("last"))
+        .agg(
+            F.sum("_size").alias("bytes"),
+            F.count("*").alias("n"),
+            *[f(c).alias(name + c) for name, f in (("min", F.min), ("max", F.max)) for c in ("_h", "_r")],
+        )
         .collect()
     )
-    return {r["_i"]: (r["bytes"], _number(*r["first"]), _number(*r["last"])) for r in rows}
+    found = {}
+    for r in rows:
+        one = r["min_h"] == r["max_h"]  # then the row numbers are those of this hash
+        first = _number(r["min_h"], r["min_r"] if one else 0)
+        last = _number(r["max_h"], r["max_r"] if one else (1 << _ROW_BITS) - 1)
+        found[r["_i"]] = (r["bytes"], r["n"], first, last)
+    return found
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[int]:
@@ -72,15 +83,14 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
     whole = _counts(keys, [])
     if not whole:
         return [0] * (shards - 1)
-    total, first, last = whole[0]
+    total, _, first, last = whole[0]
     targets = [total * k / shards for k in range(1, shards)]
     allowed = tolerance * total / shards
-    # Per splitter: the interval [low, high] of places and the bytes before low.
-    spans = {k: (first, last + 1, 0, total) for k in range(shards - 1)}
+    spans = {k: (first, last + 1) for k in range(shards - 1)}  # where each splitter must lie
     settled: dict[int, int] = {}
     while spans:
         wanted: set[int] = set()
-        for low, high, _, _ in spans.values():
+        for low, high in spans.values():
             step = max(1, (high - low) // (probes + 1))
             wanted |= set(range(low, high, step)) | {high}
         cuts = sorted(wanted)
@@ -97,12 +107,13 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
                 continue
             i = next(i for i in range(1, len(cuts)) if before[i] >= targets[k])
             inside = found[i]  # between cuts i - 1 and i; the target lies in these bytes
-            if inside[1] == inside[2]:  # one row: the splitter goes to its nearer side
+            _, n, low, high = inside
+            if n == 1:  # one row: the splitter goes to its nearer side
                 upper = targets[k] - before[i - 1] > before[i] - targets[k]
-                settled[k] = inside[1] + 1 if upper else inside[1]
+                settled[k] = low + 1 if upper else low
                 del spans[k]
             else:
-                spans[k] = (inside[1], inside[2] + 1, before[i - 1], before[i])
+                spans[k] = (low, high + 1)
     return [settled[k] for k in range(shards - 1)]
 
 
