@@ -1,6 +1,7 @@
 """Operators over whole tables: chat snapshots, WARC, shards, paragraphs, urls, SimHash."""
 
 import random
+import textwrap
 import zlib
 
 import pytest
@@ -178,6 +179,32 @@ def test_paragraph_places():
     assert list(paragraphs.paragraphs_of("")) == []
 
 
+def planted(rng, words, layout):
+    """Two texts with one passage of over 50 words after different openings."""
+    short = lambda: sentence(rng, rng.randint(4, 14))
+    passage = short()
+    while len(passage.split()) < words:
+        passage += " " + short()
+    return [layout(" ".join([*(short() for _ in range(rng.randint(1, 4))), passage, short(), short()])) for _ in "ab"]
+
+
+def verse(text):
+    ws = text.replace(".", "").split()
+    return "\n".join(" ".join(ws[k : k + 6]) for k in range(0, len(ws), 6))
+
+
+@pytest.mark.parametrize("words,layout,least", [
+    (100, str, 0.9), (60, str, 0.75), (100, lambda t: textwrap.fill(t, 72), 0.9), (60, lambda t: textwrap.fill(t, 72), 0.75), (100, verse, 0.9), (60, verse, 0.6)
+])
+def test_planted_passages_share_a_paragraph(words, layout, least):
+    rng = random.Random(12)
+    found = 0
+    for _ in range(200):
+        a, b = ([t[x:y] for x, y, _ in paragraphs.paragraphs_of(t)] for t in planted(rng, words, layout))
+        found += any(similar(x, y) for x in a for y in b)
+    assert found >= least * 200
+
+
 def similar(a, b):
     grams = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
     x, y = grams(a), grams(b)
