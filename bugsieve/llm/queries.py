@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bugsieve.llm import bpe, chat, decontam, paragraphs, pii, quality, shards, simhash, urls, warc
+from bugsieve.llm import bpe, chat, decontam, impact, paragraphs, pii, quality, shards, simhash, urls, warc
 from bugsieve.llm.common import table
 from bugsieve.session import scratch_path
 
@@ -199,3 +199,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+IMPACT_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM e AS q JOIN e AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query("op11_impact_search", IMPACT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
