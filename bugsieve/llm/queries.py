@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bugsieve.llm import bpe, chat, decontam, impact, paragraphs, pii, quality, shards, simhash, urls, warc
+from bugsieve.llm import bpe, chat, decontam, impact, paragraphs, pii, quality, repair, shards, simhash, trie, urls, warc
 from bugsieve.llm.common import table
 from bugsieve.session import scratch_path
 
@@ -215,3 +215,105 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @_query("op11_impact_search", IMPACT_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+#: CRC-32 of the ASCII text ``{text}``, by the table ``crc.tab``.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)),
+    lambda a, b: xor(crc.tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT)"""
+_CRC_TABLE = """
+t(i, k, v) AS (SELECT r.i, 0, r.i::BIGINT FROM range(256) AS r(i) UNION ALL
+               SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM t WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM t WHERE k = 8)"""
+
+REPAIR_SQL = (
+    "WITH RECURSIVE"
+    + _CRC_TABLE
+    + """,
+o AS (SELECT coalesce('=' || conv_id::VARCHAR, '') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             """
+    + _CRC.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    + """ % 20 AS kind FROM conversations, crc),
+d AS (SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM o, (VALUES (1), (2)) AS v(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM d),
+x AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+             row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 AS is_seen,
+             NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS is_cut, role[1] AS ini,
+             lag(role[1]) OVER (PARTITION BY key ORDER BY pos) AS before FROM w),
+f AS (SELECT key, pos, role, text, turn, ini, before, is_blank, is_seen AND NOT is_blank AS is_dup,
+             is_cut AND NOT is_blank AND NOT is_seen AS is_late FROM x),
+ins(p, word, m) AS (VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3),
+                           (3, '', 3), (3, 'I', 2)),
+ed(m, letter, ini, cost, q) AS (VALUES (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 2), (1, 'K', 'u', 0, 2), (2, 'K', 'a', 0, 3),
+    (3, 'K', 'u', 0, 2), (0, 'R', NULL, 2, 2), (1, 'R', NULL, 2, 2), (2, 'R', NULL, 2, 3), (3, 'R', NULL, 2, 2),
+    (0, 'D', NULL, 3, 0), (1, 'D', NULL, 3, 1), (2, 'D', NULL, 3, 2), (3, 'D', NULL, 3, 3)),
+dp AS (SELECT key, 0::BIGINT AS pos, 0 AS st, {'cost': 0, 'audit': ''} AS best FROM f GROUP BY key
+       UNION ALL
+       SELECT dp.key, f.pos, ed.q,
+              min({'cost': dp.best.cost + 2 * len(ins.word)::INTEGER + ed.cost
+                           + CASE WHEN f.is_late AND ed.letter <> 'D' THEN 1 ELSE 0 END,
+                   'audit': dp.best.audit || ins.word || ed.letter})
+       FROM dp JOIN f ON f.key = dp.key AND f.pos = dp.pos + 1 JOIN ins ON ins.p = dp.st JOIN ed ON ed.m = ins.m
+       WHERE (ed.ini IS NULL OR ed.ini = f.ini) AND (ed.letter = 'D' OR NOT (f.is_blank OR f.is_dup))
+       GROUP BY dp.key, f.pos, ed.q),
+ends AS (SELECT dp.key, min({'cost': dp.best.cost + 2 * len(ins.word)::INTEGER, 'audit': dp.best.audit || ins.word}) AS best
+         FROM dp JOIN (SELECT key, max(pos) AS n FROM f GROUP BY key) AS l ON l.key = dp.key AND l.n = dp.pos
+         JOIN ins ON ins.p = dp.st WHERE ins.m IN (0, 3) GROUP BY dp.key),
+letters AS (SELECT key, unnest(range(1, len(best.audit) + 1)) AS i, best.audit AS audit FROM ends),
+steps AS (SELECT key, i, audit[i] AS letter, len(replace(audit[1:i], 'I', '')) AS pos FROM letters),
+kept AS (SELECT s.key, s.i, s.letter, f.role, f.text FROM steps AS s LEFT JOIN f ON f.key = s.key AND f.pos = s.pos AND s.letter <> 'I'
+         WHERE s.letter <> 'D'),
+roles AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i)
+                    - max(CASE WHEN letter = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS k FROM kept),
+text AS (SELECT key, string_agg(CASE WHEN letter = 'K' THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS body
+         FROM roles GROUP BY key),
+n AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank,
+             count(*) FILTER (is_dup) AS duplicate, count(*) FILTER (is_late) AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM o) AS c LEFT JOIN n USING (key) LEFT JOIN ends USING (key) LEFT JOIN text USING (key)
+"""
+)
+
+
+@_query("op12_repair_grammar", REPAIR_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+TRIE_SQL = (
+    "WITH RECURSIVE"
+    + _CRC_TABLE
+    + """,
+l AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                           ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS turns
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, """
+    + _CRC.format(text="conv_id::VARCHAR")
+    + """ % 4 AS h FROM l, crc),
+b AS (SELECT h.conv_id, list_concat(coalesce(f.turns, [])[1:h.h], h.turns[h.h + 1:]) AS said
+      FROM h LEFT JOIN l AS f ON f.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, said[1:d] AS node, d, d = len(said) AS ends FROM (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS d FROM b)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+             FILTER (ends), '') AS ends,
+             (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(string_split_regex(node[d].text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS gain
+      FROM p GROUP BY node, d),
+k AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, d)),
+s AS (SELECT node[1:a] AS node, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(gain) AS saved
+      FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (node, d) LEFT JOIN m AS u ON m.d > 0 AND u.d = m.d - 1 AND u.node = m.node[1:m.d - 1]
+"""
+)
+
+
+@_query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.with_ends(trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True))
