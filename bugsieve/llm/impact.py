@@ -29,7 +29,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 from bugsieve.session import cut_lineage, scratch_path, ship_package, spread
 
 SCALE = 256
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 LEVELS = 32  # quantised sizes of a component within a block
-ROUNDS = 8  # the bound is looked at after so many shares of the postings
+ROUNDS = 16  # the bound is looked at after so many shares of the postings
+SCORED = 3  # so many shares of the vectors are cheaper to score than further postings are to add
 SEEDS = 2048  # vectors that give a query its first least useful score
 BATCH_BYTES = 32 << 20
 
@@ -98,6 +99,26 @@ def indexed_block(ids: np.ndarray, places: np.ndarray, x: np.ndarray) -> dict:
     }
 
 
+# While squared lengths stay below 2^17, a product, the square of a component and that of the query's
+# share one number: their sums are exact in 52 bits and are added in one go.
+_HALF, _FIELD, _HIGH = float(1 << 17), float(1 << 18), float(1 << 35)
+
+
+def _pack(values: np.ndarray, squares: np.ndarray, own: float, out: np.ndarray) -> None:
+    np.multiply(values, own, out=out)
+    out += squares
+    out += own * own * _HIGH
+
+
+def _unpacked(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of products, of squares and of the query's squares."""
+    rest = sums + _HALF
+    high = np.floor(rest / _HIGH)
+    rest -= high * _HIGH
+    middle = np.floor(rest / _FIELD)
+    return rest - middle * _FIELD - _HALF, middle, high
+
+
 class Block:
     """A row of the index, ready for queries."""
 
@@ -106,14 +127,20 @@ class Block:
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.places = np.frombuffer(row["places"], np.int64)
         self.dense = np.frombuffer(row["dense"], f"i{row['width']}").reshape(n, dims)
-        self.lists = np.frombuffer(row["lists"], np.int32).reshape(dims, n)
+        lists = np.frombuffer(row["lists"], np.int32).reshape(dims, n)
         self.ends = np.frombuffer(row["ends"], np.int32).reshape(dims, LEVELS)
-        self.values = np.take_along_axis(self.dense.T.astype(np.float64), self.lists, 1)
-        self.squares = self.values**2
+        self.starts = np.concatenate([np.zeros((dims, 1), np.int32), self.ends[:, :-1]], 1)
+        self.counts = (self.ends - self.starts).astype(np.int64)
+        #: Postings of a dimension: vectors, components and their squares.
+        self.rows = lists.astype(np.intp)
+        self.values = np.take_along_axis(self.dense.T, lists, 1).astype(np.float64)
+        self.squares = self.values**2 * _FIELD
         self.lengths = (self.dense.astype(np.float64) ** 2).sum(1)
+        self.space = np.empty(n * dims, np.intp), np.empty(n * dims)
         largest = int(np.abs(self.dense.astype(np.int64)).max(initial=0))
         tops = np.arange(LEVELS, 0, -1) * (largest // LEVELS + 1) - 1
         self.sizes = np.minimum(tops, largest).astype(np.float64)
+        self.first_look = 1  # the share of the postings after which the last query was first near its end
 
     def members(self, query: np.ndarray, least: float, rounds: int = ROUNDS) -> np.ndarray:
         """Rows of the block that may score ``least`` or more with the query; misses none that does."""
@@ -125,33 +152,50 @@ class Block:
             return np.arange(n)
         impact = np.abs(q[used])[:, None] * self.sizes
         order = np.argsort(-impact, axis=None, kind="stable")
-        starts = np.concatenate([np.zeros((dims, 1), np.int32), self.ends[:, :-1]], 1)
-        taken = np.cumsum((self.ends - starts)[used].ravel()[order])
+        taken = np.cumsum(self.counts[used].ravel()[order])
+        ends = self.ends[used].ravel()
+        total_q = (q**2).sum()
+        slack = 1 + 1e-9 * np.sqrt(self.lengths * total_q)
         score, seen_x, seen_q = np.zeros(n), np.zeros(n), np.zeros(n)
-        total_q, margin = (q**2).sum(), 1e-9
+        packed = max(total_q, self.lengths.max()) < _HALF
         done = np.zeros(len(used), np.int64)
         step = -(-n * len(used) // rounds)
-        for r in range(rounds):
-            upto = np.searchsorted(taken, min((r + 1) * step, taken[-1])) + 1
-            reached = order[:upto]
+        for r in range(min(self.first_look, rounds), rounds + 1):
+            reached = order[: np.searchsorted(taken, min(r * step, taken[-1])) + 1]
             now = done.copy()
-            np.maximum.at(now, reached // LEVELS, self.ends[used].ravel()[reached])
-            parts = [(t, a, b) for t, a, b in zip(used, done, now) if b > a]
-            if parts:
-                rows = np.concatenate([self.lists[t, a:b] for t, a, b in parts])
-                sizes = [b - a for _, a, b in parts]
-                mine = np.repeat([q[t] for t, _, _ in parts], sizes)
-                score += np.bincount(rows, np.concatenate([self.values[t, a:b] for t, a, b in parts]) * mine, n)
-                seen_x += np.bincount(rows, np.concatenate([self.squares[t, a:b] for t, a, b in parts]), n)
-                seen_q += np.bincount(rows, mine**2, n)
+            np.maximum.at(now, reached // LEVELS, ends[reached])
+            fresh = np.flatnonzero(now > done)
+            if len(fresh):
+                parts = [(used[i], slice(done[i], now[i])) for i in fresh]
+                if packed:
+                    sums = self._summed(parts, lambda t, at, out: _pack(self.values[t, at], self.squares[t, at], q[t], out))
+                    more = _unpacked(sums)
+                else:
+                    more = [
+                        self._summed(parts, lambda t, at, out: np.multiply(self.values[t, at], q[t], out=out)),
+                        self._summed(parts, lambda t, at, out: np.divide(self.squares[t, at], _FIELD, out=out)),
+                        self._summed(parts, lambda t, at, out: out.fill(q[t] ** 2)),
+                    ]
+                score, seen_x, seen_q = score + more[0], seen_x + more[1], seen_q + more[2]
             done = now
             unseen = np.sqrt(np.maximum(self.lengths - seen_x, 0) * np.maximum(total_q - seen_q, 0))
-            slack = 1 + margin * np.sqrt(self.lengths * total_q)
             possible = np.flatnonzero(score + unseen + slack >= least)
-            if len(possible) * dims <= 3 * step or taken[-1] <= (r + 1) * step:
+            if len(possible) * rounds <= SCORED * n or taken[-1] <= r * step:
+                self.first_look = max(1, r - 1)
                 break
         return possible
 
+    def _summed(self, parts: list[tuple[int, slice]], weigh: Callable[[int, slice, np.ndarray], None]) -> np.ndarray:
+        """Add up the weights of some postings by vector."""
+        rows, weights = self.space
+        m = 0
+        for t, at in parts:
+            k = at.stop - at.start
+            rows[m : m + k] = self.rows[t, at]
+            weigh(t, at, weights[m : m + k])
+            m += k
+        return np.bincount(rows[:m], weights[:m], len(self.ids))
+
     def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
         both = min(len(query), self.dense.shape[1])
         return self.dense[rows, :both].astype(np.int64) @ query[:both]
