@@ -45,13 +45,18 @@ class TfIdfEncoder:
         stay a table; nothing but the number of documents reaches the driver.
         """
         n = docs.count()
-        counted = (
-            _term_counts(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(tokens).alias("tokens")))
-            .groupBy("token")
-            .agg(F.sum("n").alias("n"), F.count("*").alias("df"))
-            .withColumn("_first", -F.col("n"))
-        )
-        numbered = number_rows(counted, "_first", "token", name="term")
+        counted = _totals(term_counts(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(tokens).alias("tokens"))))
+        return TfIdfEncoder._numbered(counted, n, size)
+
+    @staticmethod
+    def from_state(state: DataFrame, size: int | None = None) -> TfIdfEncoder:
+        """The encoder of all documents a ``term_state`` has counted."""
+        n = state.filter("token IS NULL").agg(F.sum("df")).head()[0] or 0
+        return TfIdfEncoder._numbered(state.filter("token IS NOT NULL").select("token", "n", "df"), n, size)
+
+    @staticmethod
+    def _numbered(counted: DataFrame, n: int, size: int | None) -> TfIdfEncoder:
+        numbered = number_rows(counted.withColumn("_first", -F.col("n")), "_first", "token", name="term")
         idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1))
         terms = numbered.select("token", (F.col("term") - 1).alias("term"), idf.alias("idf"))
         return TfIdfEncoder(cut_lineage(terms if size is None else terms.filter(F.col("term") < size)))
@@ -65,7 +70,7 @@ class TfIdfEncoder:
         execution splits.
         """
         rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-        weighted = _term_counts(rows.select("_row", F.col(tokens).alias("tokens"))).join(
+        weighted = term_counts(rows.select("_row", F.col(tokens).alias("tokens"))).join(
             self.terms.filter("idf <> 0"), "token"
         )
         entries = weighted.groupBy(F.col("_row").alias("_of")).agg(
@@ -86,7 +91,28 @@ class TfIdfEncoder:
         return joined.withColumn(output, F.coalesce("_unit", empty.cast(SPARSE_TYPE))).drop("_row", "_of", "_unit")
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+
+
+def term_state(docs: DataFrame, tokens: str = "tokens", counts: DataFrame | None = None) -> DataFrame:
+    """What an encoder is fitted from: ``(token, n, df)``, occurrences and documents of every token; the
+    row of the null token counts the documents.  ``counts`` are the documents' ``term_counts``, if known."""
+    if counts is None:
+        counts = term_counts(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(tokens).alias("tokens")))
+    documents = docs.agg(F.lit(None).cast("string").alias("token"), F.lit(0).cast("bigint").alias("n"), F.count("*").alias("df"))
+    return _totals(counts).unionByName(documents)
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    """The state of several corpora together: counts add."""
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    return every.groupBy("token").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
     """``(_row, token, n)``: occurrences of each distinct token, counted within the row."""
     small = rows.filter(F.size("tokens") <= _COUNTED_IN_PLACE).select(
         "_row", F.inline(let(F.array_sort("tokens"), _runs))

@@ -11,6 +11,7 @@ from bugsieve.functions import decisions as de
 from bugsieve.functions import fixed_values as fv
 from bugsieve.functions import text as tx
 from bugsieve.operators.encoders import TfIdfEncoder
+from bugsieve.operators import text_index as ti
 from bugsieve.operators.similarity import near_duplicates, top_k_matches
 from bugsieve.operators.skew import ALWAYS_COLD, join_one_row_per_key
 from bugsieve.session import cut_lineage
@@ -148,19 +149,31 @@ def encode_text(df: DataFrame, encoder: TfIdfEncoder, text: str) -> DataFrame:
     return encoder.encode(df.withColumn("tokens", tx.lemmatized_tokens(F.col(text)))).drop("tokens")
 
 
+def text_matches(
+    asked: DataFrame, text: str, corpus: DataFrame | ti.TextIndex, encoder: TfIdfEncoder | None, k: int
+) -> DataFrame:
+    """Top-k of the texts of ``asked(query_id, ...)``: by a stored index, or against a table of vectors
+    with the encoder that made them."""
+    if isinstance(corpus, ti.TextIndex):
+        return ti.top_k(corpus, asked.select("query_id", tx.lemmatized_tokens(F.col(text)).alias("tokens")), k)
+    return top_k_matches(encode_text(asked, encoder, text).select("query_id", "vector"), corpus, k)
+
+
 def search(
     requests: DataFrame,
     records: DataFrame,
-    vectors: DataFrame,
-    encoder: TfIdfEncoder,
+    vectors: DataFrame | ti.TextIndex,
+    encoder: TfIdfEncoder | None = None,
     k: int = fv.SEARCH_DEFAULT_K,
 ) -> DataFrame:
-    """Text search: ``requests(query_id, query)`` to ranked records with their scores."""
+    """Text search: ``requests(query_id, query)`` to ranked records with their scores.
+
+    ``vectors`` is a stored index, or the records' vectors; those need their ``encoder``.
+    """
     if not 1 <= k <= fv.SEARCH_MAX_K:
         raise ValueError(f"k is from 1 to {fv.SEARCH_MAX_K}")
     admitted = accepted(admit_for_search(requests))
-    queries = encode_text(admitted, encoder, "query").select("query_id", "vector")
-    matches = top_k_matches(queries, vectors, k)
+    matches = text_matches(admitted, "query", vectors, encoder, k)
     return attach(matches, records, "title", "severity", "cluster_id", "improved_summary").select(
         "query_id", "rank", "defect_id", "title", "severity", "cluster_id",
         F.round("score", 4).alias("similarity_score"), "improved_summary",
@@ -170,19 +183,18 @@ def search(
 def analyze(
     reports: DataFrame,
     records: DataFrame,
-    vectors: DataFrame,
-    encoder: TfIdfEncoder,
+    vectors: DataFrame | ti.TextIndex,
+    encoder: TfIdfEncoder | None = None,
     k: int = fv.TOP_MATCHES,
     duplicate: float = fv.DUPLICATE_THRESHOLD,
     possible: float = fv.POSSIBLE_DUPLICATE_THRESHOLD,
     key: str = "report_id",
 ) -> DataFrame:
-    """Full analysis of a batch of incoming reports, one nested row per accepted report."""
+    """Full analysis of a batch of incoming reports, one nested row per accepted report; ``vectors`` as
+    in :func:`search`."""
     admitted = accepted(admit_for_analysis(reports)).withColumn("_text", query_text_column())
-    queries = encode_text(admitted, encoder, "_text").select(F.col(key).alias("query_id"), "vector")
-    matches = attach(
-        top_k_matches(queries, vectors, k), records, "title", "severity", "cluster_id"
-    )
+    asked = admitted.select(F.col(key).alias("query_id"), "_text")
+    matches = attach(text_matches(asked, "_text", vectors, encoder, k), records, "title", "severity", "cluster_id")
     decided = decide_matches(matches, duplicate, possible)
     votes = vote_severity(matches)
     best = F.get(F.col("top"), F.lit(0))
@@ -221,15 +233,15 @@ def analyze(
 def enhance(
     reports: DataFrame,
     records: DataFrame,
-    vectors: DataFrame,
-    encoder: TfIdfEncoder,
+    vectors: DataFrame | ti.TextIndex,
+    encoder: TfIdfEncoder | None = None,
     key: str = "report_id",
 ) -> DataFrame:
     """Improved title, summary, missing fields and suggested severity of each report."""
     text = tx.combine_enhance_text(*[F.col(f) for f in ("title", "description", "steps", "actual")])
     admitted = accepted(admit_for_enhancement(reports)).withColumn("_text", text)
-    queries = encode_text(admitted, encoder, "_text").select(F.col(key).alias("query_id"), "vector")
-    matches = attach(top_k_matches(queries, vectors, fv.TOP_MATCHES), records, "severity")
+    asked = admitted.select(F.col(key).alias("query_id"), "_text")
+    matches = attach(text_matches(asked, "_text", vectors, encoder, fv.TOP_MATCHES), records, "severity")
     votes = vote_severity(matches).withColumnRenamed("query_id", key)
     fields = {f: F.col(f) for f, _, _ in fv.REQUIRED_FIELDS}
     return admitted.join(votes, key, "left").select(

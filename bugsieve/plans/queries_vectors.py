@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bugsieve.functions import fixed_values as fv
 from bugsieve.operators import clustering as cl
 from bugsieve.operators import similarity as sm
+from bugsieve.operators import text_index as ti
 from bugsieve.operators import triage as tr
 from bugsieve.operators.encoders import TfIdfEncoder, unit_vector
 from bugsieve.operators.reports import with_tokens
@@ -36,6 +37,27 @@ def text_corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, TfI
     return described, encoder.encode(described.select("defect_id", "tokens")), encoder
 
 
+_STORED: dict[tuple[str, str], tuple[DataFrame, ti.TextIndex]] = {}
+
+
+def stored_corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, ti.TextIndex]:
+    """Records and their text index, built once per application and folder and read from there on.
+
+    The given tables do not change while an application runs; a service would build in one job and
+    open the index in others.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch_path(spark, "corpus")
+        described = tb.described(spark, sf).select(
+            "defect_id", "title", "severity", "cluster_id", "tokens", "improved_summary"
+        )
+        described.write.parquet(f"{path}/records")
+        records = spark.read.parquet(f"{path}/records")
+        _STORED[key] = records.drop("tokens"), ti.build(records.select("defect_id", "tokens"), f"{path}/index")
+    return _STORED[key]
+
+
 @query(
     "em1_encode_corpus",
     S.with_records(
@@ -133,6 +155,20 @@ def si2(spark, sf):
     return tr.search(_requests(spark, sf), records, vectors, encoder)
 
 
+@query(
+    "si2_indexed_search",
+    S.with_records(
+        "SELECT m.query_id, m.rank, m.defect_id, d.title, d.severity, d.cluster_id, "
+        "round(m.score, 4) AS similarity_score, d.improved_summary FROM matches m JOIN described d USING (defect_id)",
+        S.TFIDF,
+        S.text_matches(_USER_TEXTS, fv.SEARCH_DEFAULT_K),
+    ),
+)
+def si2_indexed(spark, sf):
+    """The same search from the stored index: nothing is fitted, no vector is scanned."""
+    return tr.search(_requests(spark, sf), *stored_corpus(spark, sf))
+
+
 @query(
     "si3_approximate_top_k",
     S.with_vectors(
@@ -394,6 +430,24 @@ def de6(spark, sf):
     return flat_analysis(tr.analyze(tb.incoming_reports(spark, sf), *text_corpus(spark, sf)))
 
 
+@query(
+    "de6_indexed_analysis",
+    S.with_records(
+        f"""SELECT i.report_id, d.decision, round(d.score, 4) AS confidence, d.cluster_id, m.matches,
+              coalesce(nullif(i.title, ''), {S.title('i.description')}) AS title, {_QUERY_SUMMARY} AS summary,
+              array_to_string({S.missing_list(_FORM_FIELDS)}, ',') AS missing,
+              coalesce(v.suggested_severity, 'normal') AS suggested_severity
+            FROM decided d JOIN incoming i ON i.report_id = d.query_id
+            LEFT JOIN voted v USING (query_id)
+            JOIN (SELECT query_id, string_agg(rank || ':' || defect_id || ':' || coalesce(severity, ''), ','
+              ORDER BY rank) AS matches FROM full_matches GROUP BY query_id) m USING (query_id)""",
+        S.TFIDF, S.INCOMING, S.text_matches(_ANALYZE_TEXTS, 5), _TEXT_DECIDED, _VOTES,
+    ),
+)
+def de6_indexed(spark, sf):
+    return flat_analysis(tr.analyze(tb.incoming_reports(spark, sf), *stored_corpus(spark, sf)))
+
+
 def flat_analysis(nested: DataFrame) -> DataFrame:
     matches = F.transform(
         "top_matches",
@@ -449,6 +503,25 @@ def de7(spark, sf):
     )
 
 
+@query(
+    "de7_indexed_enhancement",
+    S.with_records(
+        f"""SELECT i.report_id, {_ENHANCED} AS title,
+              {sql_enhanced_summary('i.description', sections=False)} AS summary,
+              array_to_string({S.missing_list(_FORM_FIELDS)}, ',') AS missing,
+              coalesce(v.suggested_severity, 'normal') AS suggested_severity
+            FROM incoming i JOIN ({_ENHANCE_TEXTS}) t ON t.query_id = i.report_id
+            LEFT JOIN voted v ON v.query_id = i.report_id""",
+        S.TFIDF, S.INCOMING, S.text_matches(_ENHANCE_TEXTS, 5), _TEXT_DECIDED, _VOTES,
+    ),
+)
+def de7_indexed(spark, sf):
+    out = tr.enhance(tb.incoming_reports(spark, sf), *stored_corpus(spark, sf))
+    return out.withColumn("missing", F.array_join(F.transform("missing_fields", lambda m: m["field"]), ",")).drop(
+        "missing_fields"
+    )
+
+
 @query(
     "en7_suggested_severity",
     S.with_records(
