@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from bugsieve.functions import fixed_values as fv
 from bugsieve.operators import cells as ce
 from bugsieve.operators import kernels as kn
+from bugsieve.operators import sketches as sk
 from bugsieve.operators.reports import id_order
 from bugsieve.operators.skew import join_one_row_per_key
 from bugsieve.session import cut_lineage
@@ -247,9 +248,8 @@ def near_duplicates(
     """Every report against all others: its best ``k`` with score of at least ``min_score``.
 
     Sparse vectors meet in cells of their rarest terms, which is exact.  No rule prunes spread
-    dense vectors exactly, so those meet in the buckets of random hyperplanes: as many tables
-    that a pair at ``min_score`` meets with probability ``target``, closer pairs more surely;
-    scores are exact.  ``exact`` compares dense vectors in pivot cells instead, at a cost that
+    dense vectors exactly, so those meet as sketches (see :mod:`.sketches`): a pair at ``min_score`` is
+    found with probability ``target``, closer pairs more surely; scores are exact.  ``exact`` compares dense vectors in pivot cells instead, at a cost that
     grows with the square of the rows.
 
     Equal vectors are joined once: groups of copies become one row each, the groups are
@@ -266,11 +266,9 @@ def near_duplicates(
 
     id_type = reps.schema["id"].dataType
     if exact or ce.vector_is_sparse(reps):
-        meeting = ce.cell_rows(reps, None, min_score, block_rows)
+        found = ce.map_blocks(ce.cell_rows(reps, None, min_score, block_rows), kernel, _match_schema(id_type, id_type))
     else:
-        planes, tables = _planes(reps, min_score, target, block_rows)
-        meeting = ce.block_rows_of(ce.hash_cells(reps, planes, tables), None, block_rows)
-    found = ce.map_blocks(meeting, kernel, _match_schema(id_type, id_type))
+        found = sk.matches(reps, min_score, k + 1, target, block_rows)
     # Copies match each other even where no other group shares their cells.
     entries = "vector.values" if ce.vector_is_sparse(groups) else "vector"
     squares = F.transform(entries, lambda x: x.cast("double") * x.cast("double"))
@@ -302,17 +300,6 @@ def near_duplicates(
     )
 
 
-def _planes(rows: DataFrame, min_score: float, target: float, block_rows: int, seed: int = 42) -> tuple[np.ndarray, int]:
-    """Random directions for hash tables, and how many tables: buckets of about a block, and a
-    pair at ``min_score`` shares one with probability ``target``."""
-    n = rows.count()
-    bits = max(1, int(np.ceil(np.log2(max(n, 2) / block_rows))))
-    agree = (1 - np.arccos(np.clip(min_score, -1.0, 1.0)) / np.pi) ** bits
-    tables = int(np.ceil(np.log(1 - target) / np.log(max(1e-12, 1 - agree)))) if agree < target else 1
-    first = rows.select(F.size("vector").alias("d")).limit(1).head()
-    return np.random.default_rng(seed).normal(size=(tables * bits, first["d"] if first else 1)), tables
-
-
 def _collapse(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors ``(group, vector, rep, n)`` and the members ``(id, rep)`` of each."""
     rows = cut_lineage(_sided(vectors, key, vector).withColumn("group", F.xxhash64("vector")))

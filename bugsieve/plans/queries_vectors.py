@@ -11,6 +11,7 @@ from bugsieve.operators import clustering as cl
 from bugsieve.operators import similarity as sm
 from bugsieve.operators import text_index as ti
 from bugsieve.operators import triage as tr
+from bugsieve.operators import vector_index as vi
 from bugsieve.operators.encoders import TfIdfEncoder, unit_vector
 from bugsieve.operators.reports import with_tokens
 from bugsieve.plans import sql as S
@@ -181,16 +182,37 @@ def si3(spark, sf):
     """Approximate search against exact search, per band of scores: the scores it returns are
     exact, and it finds nine of ten matches or more."""
     q, v = tb.vector_queries(spark, sf), tb.vectors(spark, sf)
-    found = sm.lsh_top_k(q, v).select("query_id", "defect_id", F.col("score").alias("found"))
     exact = sm.top_k_matches(q, v, fv.TOP_MATCHES, fv.POSSIBLE_DUPLICATE_THRESHOLD)
-    both = exact.join(found, ["query_id", "defect_id"], "left").withColumn("band", F.floor(F.col("score") * 10).cast("int"))
+    return _recall_by_band(sm.lsh_top_k(q, v), exact)
+
+
+def _recall_by_band(found: DataFrame, exact: DataFrame, least: float = 0.9) -> DataFrame:
+    both = exact.join(
+        found.select("query_id", "defect_id", F.col("score").alias("found")), ["query_id", "defect_id"], "left"
+    ).withColumn("band", F.floor(F.col("score") * 10).cast("int"))
     return both.groupBy("band").agg(
         (F.count_if(F.abs(F.col("found") - F.col("score")) > 1e-9) == 0).alias("scores_exact"),
-        (F.count("found") >= 0.9 * F.count("*")).alias("recall_met"),
+        (F.count("found") >= least * F.count("*")).alias("recall_met"),
         F.count("*").alias("expected"),
     )
 
 
+@query(
+    "si3_cell_index",
+    S.with_vectors(
+        "SELECT band, true AS scores_exact, true AS recall_met, count(*) AS expected FROM (SELECT "
+        "CAST(floor(score * 10) AS INTEGER) AS band FROM matches WHERE score >= 0.5) GROUP BY band",
+        S.top_matches(5),
+    ),
+)
+def si3_index(spark, sf):
+    """The stored cell index against exact search, per band of scores."""
+    q, v = tb.vector_queries(spark, sf), tb.vectors(spark, sf)
+    index = vi.build(v, scratch_path(spark, "cells"))
+    exact = sm.top_k_matches(q, v, fv.TOP_MATCHES, fv.POSSIBLE_DUPLICATE_THRESHOLD)
+    return _recall_by_band(vi.top_k(index, q), exact)
+
+
 @query(
     "si4_near_duplicates_vectors",
     S.with_vectors(
@@ -202,6 +224,22 @@ def si4(spark, sf):
     return m.withColumn("score", F.round("score", 4))
 
 
+@query(
+    "si4_candidates",
+    S.with_vectors(
+        "SELECT band, true AS scores_exact, true AS recall_met, count(*) AS expected FROM (SELECT "
+        "CAST(floor(score * 10) AS INTEGER) AS band FROM ranked) GROUP BY band",
+        S.ranked_pairs(0.35, 5, S.DENSE_PAIRS),
+    ),
+)
+def si4_sketches(spark, sf):
+    """Near duplicates by sketches, the default for dense vectors, against all products: it finds
+    nineteen of twenty or more in every band of scores.  Blocks are small, so that buckets prune."""
+    v = tb.vectors(spark, sf)
+    found = sm.near_duplicates(v, 0.35, block_rows=128)
+    return _recall_by_band(found, sm.near_duplicates(v, 0.35, exact=True), 0.95)
+
+
 @query(
     "si4_near_duplicates_texts",
     S.with_records(
