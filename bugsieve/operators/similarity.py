@@ -77,10 +77,31 @@ class _SharedSide:
 
     def __init__(self, table: pa.Table):
         self.ids, self.vectors = kn.keys(table["id"]), kn.whole(table["vector"])
+        self.floor = np.full(len(self.ids), -np.inf)
 
+    def seed(self, vectors: pa.Array, k: int) -> None:
+        """Raise the floors to each row's k-th best score with some vectors of the other side."""
+        best: dict[int, list[np.ndarray]] = {}
+        for at, _, scores in kn.products(self.vectors, vectors):
+            scores = np.round(scores, kn.SCORE_DECIMALS)
+            held = np.concatenate([*best.get(at, []), scores], axis=1)
+            best[at] = [np.partition(held, -k, axis=1)[:, -k:] if held.shape[1] > k else held]
+        for at, (held,) in best.items():
+            if held.shape[1] == k:
+                self.floor[at : at + len(held)] = held.min(axis=1)
 
-def _shared_side(df: DataFrame):
-    return df.sparkSession.sparkContext.broadcast(_SharedSide(df.toArrow()))
+
+#: A scan of many tasks starts from the scores its queries reach with a few rows of the corpus.
+SEED_TASKS, SEED_ROWS = 32, 512
+
+
+def _shared_side(df: DataFrame, corpus: DataFrame | None = None, k: int = 0):
+    side = _SharedSide(df.toArrow())
+    if corpus is not None and len(side.ids) and corpus.rdd.getNumPartitions() >= SEED_TASKS:
+        seeds = corpus.select("vector").limit(SEED_ROWS).toArrow()  # any rows will do: the first tasks' are read
+        if seeds.num_rows:
+            side.seed(kn.whole(seeds["vector"]), k)
+    return df.sparkSession.sparkContext.broadcast(side)
 
 
 def top_k_matches(
@@ -97,7 +118,8 @@ def top_k_matches(
     """Exact top-k by inner product: ``(query_id, defect_id, score, rank)``.
 
     * Queries fit in memory: they are broadcast, the corpus is scanned once in place and
-      every task emits at most k rows per query.
+      every task emits at most k rows per query; where tasks are many, none below the k-th best
+      score of the query with a few rows of the corpus.
     * Corpus fits: it is broadcast and each query is finished where it is, no shuffle.
     * Neither fits: the queries are cut into batches that do, and the corpus is scanned once
       per batch.  Nothing of the corpus is copied or shuffled.
@@ -149,7 +171,7 @@ def _as_batch(found: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _scan_corpus(q, c, k, min_score, schema) -> DataFrame:
-    shared, arrow_schema = _shared_side(q), to_arrow_schema(schema)
+    shared, arrow_schema = _shared_side(q, c, k), to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -159,6 +181,7 @@ def _scan_corpus(q, c, k, min_score, schema) -> DataFrame:
             for at, other, scores in kn.products(own.vectors, kn.whole(part["vector"])):
                 if at not in best:
                     best[at] = kn.RunningTopK(len(scores), k, min_score)
+                    np.maximum(best[at].floor, own.floor[at : at + len(scores)], out=best[at].floor)
                 best[at].add(0, scores, ids[other : other + scores.shape[1]])
         for at, found in best.items():
             yield _as_batch(found.found(own.ids[at : at + len(found.floor)]), arrow_schema)

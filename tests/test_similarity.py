@@ -269,3 +269,27 @@ def test_plugged_encoder(spark):
     out = encode_with(df, load, batch_size=2).orderBy("i").collect()
     assert [len(r["vector"]) for r in out] == [2] * 5
     assert all(abs(sum(x * x for x in r["vector"]) - 1) < 1e-6 for r in out)
+
+
+def test_seeded_floors_keep_the_rows_of_many_tasks_few(spark):
+    import numpy as np
+    from pyspark.sql import types as T
+
+    from bugsieve.operators import similarity as sm
+
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(4000, 16))
+    corpus = spark.createDataFrame([(f"DEF-{i:05d}", [float(c) for c in v]) for i, v in enumerate(x)], "defect_id string, vector array<double>")
+    queries = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x[:20])], "query_id long, vector array<double>")
+    schema = sm._match_schema(T.LongType(), T.StringType())
+
+    def scanned(tasks):
+        sides = (sm._sided(df, key, "vector") for df, key in ((queries, "query_id"), (corpus.repartition(tasks), "defect_id")))
+        return sm._scan_corpus(*sides, 5, None, schema)
+
+    few, many = scanned(sm.SEED_TASKS).count(), scanned(4 * sm.SEED_TASKS).count()
+    # Of 4,000 rows, 512 give the floor: some 40 of a query reach it, however the rest is cut.
+    assert many < 1.2 * few + 100 and many < 20 * 60 < 20 * 5 * sm.SEED_TASKS
+    best = lambda df: sorted((r["query_id"], r["rank"], r["defect_id"]) for r in df.collect())
+    one, spread = (sm.top_k_matches(queries, corpus.repartition(n), 5) for n in (1, 2 * sm.SEED_TASKS))
+    assert best(one) == best(spread)
