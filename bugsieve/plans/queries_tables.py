@@ -20,7 +20,7 @@ from bugsieve.plans import testbed as tb
 from bugsieve.plans.queries_vectors import decided_records
 from bugsieve.plans.registry import query
 from bugsieve.session import scratch_path
-from bugsieve.sources import readers, writers
+from bugsieve.sources import readers, split_csv, writers
 
 # --- sources and sinks --------------------------------------------------------------
 
@@ -31,13 +31,27 @@ from bugsieve.sources import readers, writers
     "CAST(NULL AS INTEGER) AS \"Fixing_time\" FROM documents d LEFT JOIN labels l USING (doc_id)",
 )
 def io1(spark, sf):
+    return readers.read_csv_reports(spark, _fix_csv(spark, sf), readers.FIX_SCHEMA)
+
+
+def _fix_csv(spark, sf, **options) -> str:
     path = scratch_path(spark, "fix_csv")
     tb.table(spark, sf, "documents").join(tb.table(spark, sf, "labels"), "doc_id", "left").select(
         F.col("doc_id").alias("Unnamed: 0"), F.col("text").alias("Description"),
         F.col("quality").alias("Label"),
     ).write.csv(path, header=True, quote='"', escape='"', quoteAll=False,
-                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return readers.read_csv_reports(spark, path, readers.FIX_SCHEMA)
+                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options)
+    return path
+
+
+@query(
+    "io1_split_csv",
+    "SELECT d.text AS \"Description\", CAST(l.quality AS INTEGER) AS \"Label\", "
+    "CAST(NULL AS INTEGER) AS \"Fixing_time\" FROM documents d LEFT JOIN labels l USING (doc_id)",
+)
+def io1_split(spark, sf):
+    """The same file read by its splits, every text in quotes."""
+    return split_csv.read_split_csv(spark, _fix_csv(spark, sf, escapeQuotes=True), readers.FIX_SCHEMA)
 
 
 @query(

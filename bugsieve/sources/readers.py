@@ -58,7 +58,7 @@ VECTOR_SCHEMA = T.StructType(
     ]
 )
 _CORRUPT = "_corrupt_record"
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
 #: Columns that say where a row was read; in their order, rows stand as in the files.
@@ -84,14 +84,18 @@ def read_csv_reports(
     columns in the file do no harm and no inference pass is needed.  ``positions`` adds
     the columns ``POSITION``.
     """
-    raw = spark.read.csv(path, **_CSV)
-    names = {c.strip(): c for c in raw.columns}
-    picked = [
+    raw = spark.read.csv(path, **CSV_OPTIONS)
+    return raw.select(*typed_columns(raw.columns, schema), *(_position() if positions else []))
+
+
+def typed_columns(header: list[str], schema: T.StructType) -> list[Column]:
+    """The fields of ``schema`` from text columns named by a header; missing ones are null."""
+    names = {c.strip(): c for c in header}
+    return [
         (F.expr(f"try_cast(`{names[f.name]}` as {f.dataType.simpleString()})") if f.name in names
          else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
-    return raw.select(*picked, *(_position() if positions else []))
 
 
 def tracker_files(spark: SparkSession, root: str, glob: str = "*_bugs.csv") -> DataFrame:
@@ -132,7 +136,7 @@ def read_tracker_exports(
         schema = schema.add(_CORRUPT, T.StringType())
         scan = (
             spark.read.schema(schema)
-            .options(**_CSV, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
+            .options(**CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
             .csv(layout["files"])
         )
         part = scan.filter(F.col("Description").isNotNull() | F.col(_CORRUPT).isNull()).select(
