@@ -106,15 +106,14 @@ def page_of(df: DataFrame, page: int, per_page: int = 20, order: str = "defect_i
     """One page in id order.
 
     ``orderBy().limit()`` is a bounded top-n in each partition; only ``page * per_page``
-    rows reach the final merge, never the whole table.  Pages beyond ``DEEP_ROWS`` rows are cut
-    out of the numbered ids instead, so no task merges that many rows; ids must be unique there.
+    rows reach the final merge, never the whole table.  For pages beyond ``DEEP_ROWS`` rows all rows
+    are numbered instead, so no task merges that many; a service keeps a :mod:`.pages` directory.
     """
     n = _check_page(page, per_page)
     if page * n > DEEP_ROWS:
-        places = df.select(F.struct(*id_order(df, order)).alias("place"))
+        rows = df.select(F.struct(*id_order(df, order)).alias("_place"), F.struct(*df.columns).alias("_row"))
         wanted = F.col("_number").between((page - 1) * n + 1, page * n)
-        ids = number_rows(places, "place", name="_number").filter(wanted).select(f"place.{order}")
-        return df.join(F.broadcast(ids), order, "left_semi")  # at most a page of ids
+        return number_rows(rows, "_place", name="_number").filter(wanted).orderBy("_number").select("_row.*")
     return df.orderBy(*id_order(df, order)).limit(page * n).offset((page - 1) * n)
 
 

@@ -13,6 +13,7 @@ from bugsieve.operators import reports as rp
 from bugsieve.operators import triage as tr
 from bugsieve.operators.audits import common_ids, split_overlap
 from bugsieve.operators.distributions import by_count, severity_distribution, vocabulary
+from bugsieve.operators.pages import PageDirectory
 from bugsieve.operators.similarity import top_k_matches
 from bugsieve.plans import build
 from bugsieve.plans import sql as S
@@ -564,6 +565,20 @@ def wi3(spark, sf):
     return br.page_of(br.search_reports(_orders(spark, sf), severity="1-URGENT"), 3, 50)
 
 
+@query(
+    "wi3_page_directory",
+    "SELECT defect_id, severity, status FROM (SELECT o_orderkey AS defect_id, o_orderpriority AS severity, "
+    "o_orderstatus AS status, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS total FROM orders) "
+    "WHERE n BETWEEN 981 AND 1060 OR n > (total - 1) // 80 * 80",
+)
+def wi3_directory(spark, sf):
+    """A page across the border of two slices, and the last one, from a stored directory of all orders."""
+    directory = PageDirectory.build(_orders(spark, sf), scratch_path(spark, "pages"), slice_rows=1000)
+    _, last = directory.totals(80)
+    wide = directory.page(50, 20).unionByName(directory.page(51, 20)).unionByName(directory.page(52, 20)).unionByName(directory.page(53, 20))
+    return wide.unionByName(directory.page(last, 80))
+
+
 @query(
     "wi3_page_after_key",
     "SELECT o_orderkey AS defect_id, o_orderpriority AS severity, o_orderstatus AS status FROM orders "

@@ -185,6 +185,39 @@ def test_deep_pages_are_the_same(spark, monkeypatch):
         assert got == ids[(page - 1) * 15 : page * 15]
 
 
+def test_deep_pages_keep_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None, 1), (None, 2)] + [(f"DEF-{i // 2:05d}", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "defect_id string, n int").repartition(3)
+    whole = sorted((x or "", n) for x, n in rows)
+    for deep in (10_000, 5):
+        monkeypatch.setattr(br, "DEEP_ROWS", deep)
+        pages = [br.page_of(df, page, 7).collect() for page in range(1, 8)]
+        assert [len(p) for p in pages] == [7] * 6 + [0]
+        ids = [r["defect_id"] or "" for p in pages for r in p]
+        assert ids == [x for x, _ in whole]
+    assert sorted((r["defect_id"] or "", r["n"]) for p in pages for r in p) == whole  # numbered rows come once
+
+
+def test_page_directory(spark, tmp_path):
+    from bugsieve.operators.pages import PageDirectory
+
+    rows = [(None, 1, None), (None, 2, "x")] + [(f"DEF-{i // 2:05d}", i, "y") for i in range(99_950 * 2, 99_950 * 2 + 300)]
+    df = spark.createDataFrame(rows, "defect_id string, number int, slice string").withColumnsRenamed({"number": "n", "slice": "s"})
+    built = PageDirectory.build(df.repartition(4), str(tmp_path / "pages"), slice_rows=50)
+    assert built.totals(20) == (302, 16)
+    got = [tuple(r) for page in range(1, 17) for r in built.page(page, 20).collect()]
+    key = lambda r: (len(r[0] or ""), r[0] or "")
+    assert sorted(got, key=str) == sorted(rows, key=str) and got == sorted(got, key=key)
+    assert built.page(17, 20).count() == 0
+    page = built.page(3, 20)  # rows 41 to 60 lie in two slices
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "slice#" in plan and "PushedFilters: [IsNotNull(number), GreaterThanOrEqual(number,41)" in plan
+    files = page.sparkSession.read.parquet(str(tmp_path / "pages" / "rows")).filter("slice IN (0, 1)").select("slice").distinct()
+    assert files.count() == 2
+    with pytest.raises(ValueError):
+        built.page(0)
+
+
 def test_lookup_reaches_the_scan(spark, listing, tmp_path):
     writers.write_records(listing, str(tmp_path / "r"))
     found = br.lookup(spark.read.parquet(str(tmp_path / "r")), "DEF-00042").select("defect_id", "title")
