@@ -193,6 +193,12 @@ def _covered(spans: Column) -> Column:
     )
 
 
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, th, ws)``: id, a hash of the text that tells rows of one id apart, words."""
+    column = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(column).alias("th"), words(column).alias("ws"))
+
+
 def hits(
     docs: DataFrame,
     items: DataFrame,
@@ -205,11 +211,7 @@ def hits(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(doc_id, th, n_hit, item_ids)`` of the documents that are hit; ``th`` hashes the text."""
-    own = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"),
-        F.xxhash64(f"`{text}`").alias("th"),
-        words(F.col(f"`{text}`")).alias("ws"),
-    )
+    own = _named(docs, doc_id, text)
     listed = items.select(F.col(f"`{item_id}`").alias("item_id"), words(F.col(f"`{item_text}`")).alias("ws"))
     # Items of equal words are one text; the documents meet the text, the ids come back last.
     texts = cut_lineage(
@@ -254,9 +256,25 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
+#: Up to so many hit documents are sent to the others instead of sorting all texts by id.
+FEW_HIT = 100_000
+
+
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_text: str = "text",
+    window: int = WINDOW,
+    gram: int = GRAM,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The documents no window of the benchmark occurs in, with the columns they came with."""
-    found = cut_lineage(hits(docs, items, doc_id, text, **more).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+    texts = items.select(words(F.col(f"`{item_text}`")).alias("ws")).distinct().withColumn("item_text", F.lit(0).cast("long"))
+    spans = matched_spans(_named(docs, doc_id, text), cut_lineage(texts), window, gram, block_bytes)
+    found = cut_lineage(spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    few = found.count() <= FEW_HIT
     mine = docs.alias("d")
     same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("h._id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("h._th"))
-    return mine.join(found.alias("h"), same, "left_anti")
+    return mine.join((F.broadcast(found) if few else found).alias("h"), same, "left_anti")
