@@ -14,7 +14,7 @@ from bugsieve.operators.encoders import TfIdfEncoder
 from bugsieve.operators import text_index as ti
 from bugsieve.operators.similarity import near_duplicates, top_k_matches
 from bugsieve.operators.skew import ALWAYS_COLD, join_one_row_per_key
-from bugsieve.session import cut_lineage
+from bugsieve.session import cut_lineage, spread
 
 QUERY_FIELDS = ("title", "description", "steps", "expected", "actual", "environment", "logs")
 
@@ -155,7 +155,7 @@ def text_matches(
     """Top-k of the texts of ``asked(query_id, ...)``: by a stored index, or against a table of vectors
     with the encoder that made them."""
     if isinstance(corpus, ti.TextIndex):
-        return ti.top_k(corpus, asked.select("query_id", tx.lemmatized_tokens(F.col(text)).alias("tokens")), k)
+        return ti.top_k(corpus, spread(asked).select("query_id", tx.lemmatized_tokens(F.col(text)).alias("tokens")), k)
     return top_k_matches(encode_text(asked, encoder, text).select("query_id", "vector"), corpus, k)
 
 
