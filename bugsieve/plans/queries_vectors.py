@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bugsieve.functions import fixed_values as fv
 from bugsieve.operators import clustering as cl
+from bugsieve.operators import restarts as rs
 from bugsieve.operators import similarity as sm
 from bugsieve.operators import text_index as ti
 from bugsieve.operators import triage as tr
@@ -614,6 +615,13 @@ def cl1(spark, sf):
     return _partition_check(cl.kmeans_labels(v, restarts=10), v)
 
 
+@query("cl1_restarts_one_scan", _sql_partition(fv.N_CLUSTERS))
+def cl1_restarts(spark, sf):
+    """The same by a scan per round for all ten runs together."""
+    v = tb.vectors(spark, sf)
+    return _partition_check(rs.labels(v, restarts=10), v)
+
+
 @query("cl2_recluster", _sql_partition(fv.N_RECLUSTERS))
 def cl2(spark, sf):
     path = scratch_path(spark, "reclustered")
