@@ -62,6 +62,10 @@ def io1_split(spark, sf):
 )
 def io2(spark, sf):
     """Documents written as tracker exports in several header layouts, read back as one."""
+    return readers.read_tracker_exports(spark, _tracker_exports(spark, sf), glob="part-*.csv").drop("source_file")
+
+
+def _tracker_exports(spark, sf, ending: str = "_bugs") -> str:
     root = scratch_path(spark, "trackers")
     d = tb.table(spark, sf, "documents").select(
         F.substring("text", 1, 40).alias("Summary"), F.col("text").alias("Description"),
@@ -75,9 +79,20 @@ def io2(spark, sf):
         "rest": (["Priority", "Summary", "Description"], "lang not in ('en', 'de')"),
     }
     for name, (columns, rule) in layouts.items():
-        d.filter(rule).select(*columns).write.options(**options).csv(f"{root}/{name}_bugs")
-    d.select("Summary").write.options(**options).csv(f"{root}/undescribed_bugs")
-    return readers.read_tracker_exports(spark, root, glob="part-*.csv").drop("source_file")
+        d.filter(rule).select(*columns).write.options(**options).csv(f"{root}/{name}{ending}")
+    d.select("Summary").write.options(**options).csv(f"{root}/undescribed{ending}")
+    return root
+
+
+@query(
+    "io2_split_exports",
+    "SELECT CASE WHEN lang <> 'de' THEN substr(text, 1, 40) END AS \"Summary\", text AS \"Description\", "
+    "CASE WHEN lang <> 'en' THEN source END AS \"Priority\" FROM documents",
+)
+def io2_split(spark, sf):
+    """The same exports in one scan: all splits of all layouts at once."""
+    root = _tracker_exports(spark, sf, "_bugs.csv")
+    return split_csv.read_split_exports(spark, f"{root}/*_bugs.csv", glob="*").drop("source_file")
 
 
 @query("io3_drop_junk_columns", "SELECT doc_id, text, lang FROM documents")

@@ -17,21 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bugsieve.session import ship_package
-from bugsieve.sources.readers import CSV_OPTIONS, POSITION, typed_columns
+from bugsieve.functions.text import let
+from bugsieve.session import cut_lineage, ship_package
+from bugsieve.sources.readers import CSV_OPTIONS, POSITION, TRACKER_SCHEMA, typed_columns
 
 #: A piece of a record: all of it, its end, its beginning, or a whole split in the middle of it.
 _WHOLE, _END, _MIDDLE, _BEGINNING = range(4)
 _PIECES = "file string, block long, seq long, piece int, text string"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("lineSep", "\n").text(path)
+def _lines(spark: SparkSession, path: str, **options: str | bool) -> DataFrame:
+    text = spark.read.options(lineSep="\n", **options).text(path)
     value = F.col("value")
     quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
     return text.select(
@@ -39,14 +40,20 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         (quotes % 2).cast("int").alias("odd"),
         value.alias("line"),
+        F.monotonically_increasing_id().alias("at"),  # the order within a split
     )
 
 
 def split_starts(lines: DataFrame) -> DataFrame:
-    """``(file, block, inside)``: whether a split starts inside quotes; one row per split."""
+    """``(file, block, inside, header)``: whether a split starts inside quotes, and the first line of its
+    file; one row per split, from one pass over the lines."""
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    counted = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd"))
-    return counted.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int").alias("inside"))
+    counted = lines.groupBy("file", "block").agg(F.sum("odd").alias("odd"), F.min_by("line", "at").alias("first"))
+    return counted.select(
+        "file", "block",
+        (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int").alias("inside"),
+        F.first("first").over(W.partitionBy("file").orderBy("block")).alias("header"),
+    )
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +115,11 @@ def _batch(parts: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """``(file, block, seq, text)``: every record of the files, by the split it begins in and its place there."""
-    ship_package(spark)
-    lines = _lines(spark, path)
+    ship_package(lines.sparkSession)
     # One row per split of the input.
-    marked = lines.join(F.broadcast(split_starts(lines)), ["file", "block"]).select("file", "block", "inside", "odd", "line")
+    marked = lines.join(F.broadcast(starts), ["file", "block"]).select("file", "block", "inside", "odd", "line")
     pieces = marked.mapInArrow(_pieces, _PIECES)
     whole = pieces.filter(F.col("piece") == _WHOLE).drop("piece")
     # At most two pieces per split: the last beginning before a piece is its record's.
@@ -126,13 +132,65 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(stitched.select("file", "of.block", "of.seq", "text"))
 
 
+_SPLIT = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
+
+
+def _fields(text: Column, n: int) -> Column:
+    """The first ``n`` fields of a record as an array."""
+    parsed = F.from_csv(text, ", ".join(f"c{i} string" for i in range(n)), _SPLIT)
+    return let(parsed, lambda r: F.array(*[r[f"c{i}"] for i in range(n)]))
+
+
+def _bodies(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """Records but headers and blank lines, without the line end."""
+    body = records(lines, starts).filter((F.col("block") > 0) | (F.col("seq") > 0))
+    return body.withColumn("text", F.regexp_replace("text", "\r$", "")).filter(F.length("text") > 0)
+
+
 def read_split_csv(spark: SparkSession, path: str, schema: T.StructType, positions: bool = False) -> DataFrame:
     """As ``read_csv_reports``, by all splits of the files at once; the header is that of the first file."""
     names = spark.read.csv(path, **CSV_OPTIONS).columns
-    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    body = records(spark, path).filter((F.col("block") > 0) | (F.col("seq") > 0))
-    bare = F.regexp_replace("text", "\r$", "")
-    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
-    parsed = body.filter(F.length(bare) > 0).select("file", "block", "seq", F.from_csv(bare, fields.simpleString()[7:-1].replace(":", " "), options).alias("r"))
-    flat = parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], *[F.col(a).alias(b) for a, b in zip(("file", "block", "seq"), POSITION)])
+    lines = _lines(spark, path)
+    parsed = _bodies(lines, split_starts(lines)).withColumn("r", _fields(F.col("text"), max(len(names), 1)))
+    flat = parsed.select(
+        *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)],
+        *[F.col(a).alias(b) for a, b in zip(("file", "block", "seq"), POSITION)],
+    )
     return flat.select(*typed_columns(names, schema), *(POSITION if positions else ()))
+
+
+def read_split_exports(spark: SparkSession, root: str, glob: str = "*_bugs.csv", positions: bool = False) -> DataFrame:
+    """As ``read_tracker_exports``, in one scan for all header layouts.
+
+    Every file's header comes from the pass that counts quotes, and each record picks its fields by the
+    header of its own file; neither files nor layouts are listed on the driver.
+    """
+    lines = _lines(spark, root, recursiveFileLookup=True, pathGlobFilter=glob)
+    starts = cut_lineage(split_starts(lines))
+    tops = starts.filter("block = 0").select("file", F.regexp_replace("header", "\r$", "").alias("header"))
+    commas = F.length("header") - F.length(F.replace(F.col("header"), F.lit(","), F.lit("")))
+    n = tops.agg(F.max(commas)).head()[0]
+    n = 1 if n is None else n + 1
+    named = tops.withColumn("names", F.transform(_fields(F.col("header"), n), F.trim)).select(
+        "file", "names", F.size(F.filter("names", lambda x: x.isNotNull())).alias("width")
+    )
+    # A mark after the last field tells a record of another width, which is unreadable.
+    marked = _fields(F.concat("text", F.lit(",\x01")), n + 1)
+    rows = (
+        _bodies(lines, starts)
+        .join(F.broadcast(named.filter(F.array_contains("names", "Description"))), "file")  # one row per file
+        .withColumn("r", marked)
+    )
+
+    def field(name: str) -> Column:
+        at = F.array_position("names", name).cast("int")
+        return F.when(at > 0, F.get("r", at - 1)).alias(name)
+
+    whole = F.get("r", F.col("width")).eqNullSafe(F.lit("\x01"))
+    picked = rows.select(
+        *[field(f.name) for f in TRACKER_SCHEMA.fields], whole.alias("_whole"), F.col("file").alias("source_file"),
+        *[F.col(a).alias(b) for a, b in zip(("file", "block", "seq"), POSITION)],
+    )
+    kept = picked.filter(F.col("Description").isNotNull() | F.col("_whole"))
+    clean = [F.when(F.col(f.name) != "\x01", F.col(f.name)).alias(f.name) for f in TRACKER_SCHEMA.fields]
+    return kept.select(*clean, "source_file", *(POSITION if positions else ()))

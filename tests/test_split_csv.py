@@ -72,3 +72,25 @@ def test_positions_put_rows_in_file_order(spark, tmp_path, small_splits):
     small_splits(50)
     got = split_csv.read_split_csv(spark, str(tmp_path / "p.csv"), readers.FIX_SCHEMA, positions=True)
     assert [r["Description"] for r in got.orderBy(*readers.POSITION).collect()] == [r[2] for r in rows]
+
+
+def test_exports_of_several_layouts_in_one_scan(spark, tmp_path, small_splits):
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    (tmp_path / "a" / "one_bugs.csv").write_text("Summary,Description,Priority\ns1,d1,P1\ns2,,P2\n")
+    (tmp_path / "a" / "deep" / "two_bugs.csv").write_text('Priority,Votes,Description, Extra\r\nP2,3,"d2\nmore",x\r\nP3\r\n')
+    (tmp_path / "a" / "bad_bugs.csv").write_text("Summary,Body\nx,y\n")
+    (tmp_path / "a" / "other.csv").write_text("Summary,Description,Priority\nno,no,no\n")
+    (tmp_path / "a" / "empty_bugs.csv").write_text("")
+    long = "many words, " * 40 + "\n" * 30
+    (tmp_path / "a" / "long_bugs.csv").write_text(f'Description\n"{long}"\nshort\n')
+    want = {tuple(r) for r in readers.read_tracker_exports(spark, str(tmp_path)).collect()}
+    for size in (24, 1 << 20):
+        small_splits(size)
+        got = {tuple(r) for r in split_csv.read_split_exports(spark, str(tmp_path)).collect()}
+        assert got == want and len(want) == 5
+    nothing = tmp_path / "nothing"
+    nothing.mkdir()
+    (nothing / "x_bugs.csv").write_text("Summary\nx\n")
+    assert split_csv.read_split_exports(spark, str(nothing)).count() == 0
+    ordered = split_csv.read_split_exports(spark, str(tmp_path / "a" / "one_bugs.csv"), positions=True).orderBy(*readers.POSITION)
+    assert [r["Summary"] for r in ordered.collect()] == ["s1", "s2"]
