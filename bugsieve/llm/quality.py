@@ -68,10 +68,10 @@ def repeated_window_words(words: Column) -> Column:
             ordered,
             lambda x, k: (x["h"] == F.get(ordered, k - 1)["h"]) | (x["h"] == F.get(ordered, k + 1)["h"]),
         )
-        return F.array_sort(F.transform(found, lambda x: x["i"]))
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
 
     covered = F.aggregate(
-        let(F.array_sort(windows), repeated),
+        let(F.sort_array(windows), repeated),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, i: F.struct(
             (i + WINDOW).alias("end"), (a["n"] + WINDOW - F.greatest(a["end"] - i, F.lit(0))).alias("n")
