@@ -3,10 +3,11 @@
 A task takes its texts in blocks of bounded size.  The distinct words of a block that have not
 been seen yet form one corpus of symbols; an inverted index leads from the rank a pair of
 neighbours merges to, to the places of such pairs.  Ranks are replayed in order.  One step takes
-the lowest rank and merges, in numpy, its leftmost place in every word that has one; then only
-the pairs with the two neighbours are new.  Further places of a word wait for the next step, so a
-pair of lower rank that a merge brings about comes first: each word gets the ids of merging it by
-itself, lowest rank first and leftmost among equals.
+the lowest rank and merges, in numpy, its places in all words, from the left; then only
+the pairs with the neighbours are new.  Where a merge brings about a pair of lower rank, further
+places of the word wait for the next step, so that pair comes first: each word gets the ids of
+merging it by itself, lowest rank first and leftmost among equals.  A run of n equal letters takes some
+log n steps.
 
 Words keep their ids in a store of bounded size, so a frequent word is merged once per task
 however many texts hold it.  Nothing is shuffled or gathered.  Only the rank table, whose
@@ -99,10 +100,15 @@ def merge_words(words: Iterable[bytes], ranks: Ranks) -> list[bytes]:
         if not len(at):
             continue
         first = np.append(True, np.diff(owner[at]) != 0)
+        now = first
         if not first.all():
-            index[rank] = [at[~first]]
+            now = first & np.append(first[1:], True)  # alone in their words
+            several = np.flatnonzero(~now)
+            now[several] = _mergeable(at[several], rank, symbol, after, before, owner, ranks)
+        if not now.all():
+            index[rank] = [at[~now]]
             heapq.heappush(queue, rank)
-            at = at[first]
+            at = at[now]
         gone = after[at]
         symbol[at], symbol[gone] = rank, -1
         right = after[gone]
@@ -117,7 +123,7 @@ def merge_words(words: Iterable[bytes], ranks: Ranks) -> list[bytes]:
             np.concatenate([symbol[right[has]], np.full(len(lefts), rank)]),
         )
         merges = new != _NONE
-        for r, place in zip(new[merges].tolist(), new_places[merges].tolist()):
+        for r, place in _by_rank(new[merges], new_places[merges]):
             held = index.get(r)
             if held is None:
                 index[r] = [place]
@@ -131,6 +137,43 @@ def merge_words(words: Iterable[bytes], ranks: Ranks) -> list[bytes]:
     return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
 
+def _mergeable(
+    at: np.ndarray, rank: int, symbol: np.ndarray, after: np.ndarray, before: np.ndarray, owner: np.ndarray, ranks: Ranks
+) -> np.ndarray:
+    """Which of the places of a rank, in order, merge in one step.
+
+    Of overlapping places, as in a run of one letter, every second; and of each word the places up to
+    the first whose merge brings about a pair of lower rank, which then has to come before the rest.
+    """
+    gone = after[at]
+    chained = np.append(False, gone[:-1] == at[1:])
+    places = np.arange(len(at))
+    chain_start = np.maximum.accumulate(np.where(chained, 0, places))
+    now = (places - chain_start) % 2 == 0
+    chosen = at[now]
+    gone = after[chosen]
+    right, left = after[gone], before[chosen]
+    beside = np.append(False, left[1:] == gone[:-1])  # what stands before has just been merged
+    with_right = np.where(right >= 0, ranks.of_pairs(np.full(len(chosen), rank), symbol[right]), _NONE)
+    with_left = np.where(left >= 0, ranks.of_pairs(np.where(beside, rank, symbol[left]), np.full(len(chosen), rank)), _NONE)
+    lower = (with_right < rank) | (with_left < rank)
+    if lower.any():
+        earlier = np.cumsum(lower) - lower
+        first = np.append(True, np.diff(owner[chosen]) != 0)
+        now[now] = earlier == earlier[np.maximum.accumulate(np.where(first, np.arange(len(chosen)), 0))]
+    return now
+
+
+def _by_rank(new: np.ndarray, places: np.ndarray) -> Iterable[tuple[int, int | np.ndarray]]:
+    """New places under their ranks: one by one while they are few, else as arrays."""
+    if len(new) < 1000:
+        return zip(new.tolist(), places.tolist())
+    order = new.argsort(kind="stable")
+    new, places = new[order], places[order]
+    cuts = np.flatnonzero(np.diff(new)) + 1
+    return zip(new[np.append(0, cuts)].tolist(), np.split(places, cuts))
+
+
 class Encoder:
     """Encodes texts block by block and remembers the ids of words."""
 

@@ -286,3 +286,39 @@ def test_contamination_of_empty_tables(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "=", " ", "th", "0", "\n", "é", "xyzzy"])
+def test_long_runs_take_little_time(vocabulary, unit):
+    import time
+
+    _, pattern, ranks, tokenizer = vocabulary
+    long = unit * (1_000_000 // len(unit))
+    encoder = bpe.Encoder(ranks, pattern)
+    started = time.process_time()
+    made = np.frombuffer(encoder.encode([long])[0], "<u4").tolist()
+    assert time.process_time() - started < 10
+    assert encoder.decode(np.array(made, "<u4").tobytes()) == long.encode()
+    # The tokenizer itself is slow on long runs: a shorter one is compared.
+    short = unit * (3000 // len(unit))
+    assert np.frombuffer(encoder.encode([short])[0], "<u4").tolist() == tokenizer.encode_ordinary(short)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_merges_in_any_rank_order(tmp_path, seed):
+    """Random ranks, so that merges often bring about pairs of lower rank."""
+    import base64
+    import random
+
+    rng = random.Random(seed)
+    tokens = {bytes([b]) for b in b"abc"}
+    while len(tokens) < 40:
+        tokens.add((rng.choice(sorted(tokens)) + rng.choice(sorted(tokens)))[:7])
+    listed = sorted(tokens, key=lambda t: (len(t) > 1, rng.random()))
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(listed)))
+    ranks, rank = bpe.Ranks(str(path)), {t: i for i, t in enumerate(listed)}
+    words = ["".join(rng.choice(["a", "b", "c", "aa", "abab"]) for _ in range(rng.randint(0, 40))).encode() for _ in range(80)]
+    words += [b"a" * n for n in (1, 2, 3, 4, 5, 31, 64)] + [b"ab" * 33, b"abc" * 21]
+    for w, ids in zip(words, bpe.merge_words(words, ranks)):
+        assert np.frombuffer(ids, "<u4").tolist() == brute.byte_pairs(w, rank)
