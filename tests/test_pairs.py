@@ -103,3 +103,53 @@ def test_spanning_edges_keep_every_component_at_every_level():
     assert len(kept) == 80 - len(set(parts(zip(a, b, level), 4)))
     for most in range(5):
         assert parts(zip(a, b, level), most) == parts(zip(a[kept], b[kept], level[kept]), most)
+
+
+def test_sparse_floors_come_from_postings(monkeypatch):
+    """Unfolding sparse rows to dense ones, pair of pieces by pair of pieces, took most of a search's time."""
+
+    def refuse(*_):
+        raise AssertionError("sparse rows are unfolded")
+
+    monkeypatch.setattr(kn, "products", refuse)
+    m = np.eye(6)[[0, 1, 2, 0, 1]] * 0.8 + np.eye(6)[[5, 5, 5, 4, 4]] * 0.6
+    table = pa.table({"id": pa.array(range(5)), "vector": sparse_rows(m)})
+    side = sm._SharedSide(table)
+    side.seed(sparse_rows(m), 2)
+    assert side.floor.tolist() == [0.64, 0.64, 0.36, 0.64, 0.64]
+
+
+def test_many_queries_are_one_scan_of_the_vectors(spark, tmp_path, monkeypatch):
+    """Every batch of queries dealt nearly all postings again."""
+    from bugsieve.operators import text_index as ti
+
+    words = [f"w{i}" for i in range(30)]
+    docs = [(doc(i), [words[(i * j) % 30] for j in range(1, 6)]) for i in range(60)] + [(doc(60), [])]
+    index = ti.build(spark.createDataFrame(docs, "defect_id string, tokens array<string>"), str(tmp_path / "index"))
+    assert index.vectors.count() == 61
+    queries = spark.createDataFrame([(i, t[:3]) for i, (_, t) in enumerate(docs)] + [(99, ["unknown"])], "query_id long, tokens array<string>")
+    want = sorted(map(tuple, ti.top_k(index, queries, 4, few=0).collect()))
+
+    def refuse(*_):
+        raise AssertionError("postings are dealt per batch")
+
+    monkeypatch.setattr(ti, "_scan", refuse)
+    got = sorted(map(tuple, ti.top_k(index, queries, 4, query_bytes=1 << 10, few=0).collect()))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and len(got) == 4 * 62
+    assert all(abs(a[2] - b[2]) < 2e-9 for a, b in zip(got, want))
+
+
+def test_statistics_read_the_records_once(spark):
+    from bugsieve.plans.build import corpus_statistics
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i % 3 - 1, "low" if i % 2 else None) for i in range(12)], "cluster_id int, severity string")
+    out = {(r["metric"], r["key"]): r["value"] for r in corpus_statistics(rows.mapInArrow(counted, rows.schema), 7).collect()}
+    assert seen.value == 12
+    assert out[("total_records", "")] == 12 and out[("cluster_distribution", "0")] == 4 and out[("severity_distribution", "unknown")] == 6
