@@ -21,6 +21,9 @@ their copies (the README has figures), nor have texts wrapped at different width
   in proportion to its size: its members lie in order of their next two bands, so a paragraph
   meets those most like it, others in every band, and what is alike connects through many paths.
 * Pairs are verified by the exact Jaccard similarity of their shingle sets (of 32-bit hashes).
+* In a larger bucket whose members these pairs do not connect to one component, all members of
+  different components are compared too, in blocks of bounded size.  So no link within a bucket
+  is lost, whatever its size; two paragraphs that are in one component already need no comparison.
 * Connected paragraphs form a class.  Its first occurrence, by document id and place, stays; the
   others are removed.
 
@@ -43,6 +46,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bugsieve.llm.common import BLANKS, text_batches
+from bugsieve.operators import cells as ce
+from bugsieve.operators import kernels as kn
 from bugsieve.operators.graph import component_labels
 from bugsieve.session import cut_lineage, scratch_path
 
@@ -52,6 +57,8 @@ SIMILARITY = 0.8
 RECALL = 0.99
 REACH = 8
 AROUND = 8
+_GATHERED = 1 << 22  # shingles looked up at once
+_BLOCK_SHINGLES = 1 << 22  # that a block of members may have
 
 _BREAK = re.compile(r"[.!?]+(?=[\x20\x09-\x0D])|\n(?=[\x20\x09\x0B-\x0D]*+\n)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -245,11 +252,13 @@ def _distinct(units: DataFrame) -> DataFrame:
 
 
 def _meetings(ordered: DataFrame, reach: int) -> DataFrame:
-    """Pairs ``(a, b)`` met in buckets: each paragraph with the first of its bucket and the
-    ``reach`` before it.  ``ordered`` has whole buckets in a partition, in order of key and hash."""
+    """``(a, b, bucket)``: pairs met in buckets, each paragraph with the first of its bucket and the
+    ``reach`` before it; and, without ``b``, the members of buckets this leaves pairs out of.
+    ``ordered`` has whole buckets in a partition, in order of key and hash."""
+    whole = reach + 2  # members of a bucket that all meet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, hashes, leaders = (np.zeros(0, np.int64) for _ in range(3))  # the last rows seen
+        bands, hashes, leaders, places = (np.zeros(0, np.int64) for _ in range(4))  # the last rows seen
         for batch in batches:
             h = batch.column(1).to_numpy()
             band = batch.column(0).to_numpy() >> 16
@@ -262,9 +271,11 @@ def _meetings(ordered: DataFrame, reach: int) -> DataFrame:
             if len(h) == old:
                 continue
             begins = np.append(True, band[1:] != band[:-1])
-            leader = h[np.maximum.accumulate(np.where(begins, np.arange(len(h)), 0))]
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(h)), 0))
+            leader, place = h[first], np.arange(len(h)) - first
             if old:  # the first row kept may stand in the middle of its bucket
                 leader[band == band[0]] = leaders[0]
+                place[band == band[0]] += places[0]
             pairs = [(h[old:], leader[old:])]
             for k in range(1, reach + 1):
                 late = np.arange(max(old, k), len(h))
@@ -273,29 +284,114 @@ def _meetings(ordered: DataFrame, reach: int) -> DataFrame:
             x, y = (np.concatenate(side) for side in zip(*pairs))
             differ = x != y
             made = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, differ], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], names=["a", "b"])
-            bands, hashes, leaders = band[-reach:], h[-reach:], leader[-reach:]
+            over = np.flatnonzero(place[old:] >= whole) + old
+            before = over[place[over] == whole][:, None] + np.arange(-whole, 0)
+            over = np.append(over, before.ravel())
+            none = np.zeros(len(over), np.int64)
+            met = np.repeat([True, False], [made.shape[1], len(over)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(made[0], h[over])),
+                    pa.array(np.append(made[1], none), mask=~met),
+                    pa.array(np.append(np.zeros(made.shape[1], np.int64), band[over]), mask=met),
+                ],
+                names=["a", "b", "bucket"],
+            )
+            bands, hashes, leaders, places = (rows[-whole:] for rows in (band, h, leader, place))
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long, bucket long")
 
 
-def similar_pairs(
+def _shared_counts(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """How many shingles each row of ``x`` has in common with each row of ``y``."""
+    (a, of_a), (b, of_b) = (
+        (kn.numbers(side.flatten()), np.repeat(np.arange(len(side)), kn.numbers(side.value_lengths()))) for side in (x, y)
+    )
+    order = np.argsort(b, kind="stable")
+    b, of_b = b[order], of_b[order]
+    lo = np.searchsorted(b, a, side="left")
+    sizes = np.searchsorted(b, a, side="right") - lo
+    ends = np.cumsum(sizes)
+    out = np.zeros(len(x) * len(y), np.int64)
+    first = 0
+    while first < len(a):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + _GATHERED, side="right")))
+        size = sizes[first:last]
+        at = np.arange(size.sum()) + np.repeat(lo[first:last] - (ends[first:last] - size - done), size)
+        out += np.bincount(np.repeat(of_a[first:last], size) * len(y) + of_b[at], minlength=len(out))
+        first = last
+    return out.reshape(len(x), len(y))
+
+
+def _links(q: pa.Table, c: pa.Table, similarity: float) -> dict:
+    """Links ``(a, b)`` between the components of two blocks: a star for each that has one."""
+    found = [np.zeros((2, 0), np.int64)]
+    labels = [kn.numbers(side["label"]) for side in (q, c)]
+    shingles = [kn.whole(side["shingles"]) for side in (q, c)]
+    names, counts = np.unique(np.concatenate(labels), return_counts=True)
+    common = names[counts.argmax()]  # members of the largest component only meet the others
+    for rows, others in ((labels[0] != common, labels[1] == labels[1]), (labels[0] == common, labels[1] != common)):
+        if not (rows.any() and others.any()):
+            continue
+        x, y = (side.filter(pa.array(kept)) for side, kept in zip(shingles, (rows, others)))
+        u, v = labels[0][rows], labels[1][others]
+        s = _shared_counts(x, y)
+        n = kn.numbers(x.value_lengths())[:, None] + kn.numbers(y.value_lengths())
+        alike = np.nonzero((s >= similarity * (n - s)) & (u[:, None] != v))
+        found.append(np.stack([u[alike[0]], v[alike[1]]]))
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    _, node, least = kn.contracted(np.zeros(len(a), np.int64), a, b)
+    return {"a": node, "b": least}
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    return component_labels(pairs.select(F.lit(0).alias("level"), "a", "b")).select("id", "label")
+
+
+def _linked_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``labels`` and what links the components within buckets of ``members``, ``(cell, id)``."""
+    named = members.join(labels, "id", "left").select("cell", "id", F.coalesce("label", "id").alias("label"))
+    named = cut_lineage(named)
+    parted = named.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    rows = cut_lineage(named.join(parted.select("cell"), "cell", "left_semi"))
+    if rows.isEmpty():
+        return labels
+    largest = sets.agg(F.max(F.size("shingles")).alias("n")).head()["n"]
+    block_rows = max(1, min(ce.BLOCK_ROWS, _BLOCK_SHINGLES // largest))
+    blocks = ce.block_rows_of(rows, None, block_rows).join(sets.withColumnRenamed("h1", "id"), "id")
+    links = ce.map_blocks(blocks, lambda q, c: _links(q, c, similarity), "a long, b long")
+    links = cut_lineage(links.distinct())
+    if links.isEmpty():
+        return labels
+    # The smallest of the smallest members is the smallest of all.
+    roots = cut_lineage(_components(links).select(F.col("id").alias("label"), F.col("label").alias("root")))
+    moved = labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    alone = roots.select(F.col("label").alias("id"), F.col("root").alias("label")).join(labels, "id", "left_anti")
+    return moved.unionByName(alone)
+
+
+def similar_components(
     units: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, reach: int = REACH
 ) -> DataFrame:
-    """Verified pairs ``(a, b)`` of paragraph hashes."""
+    """``(id, label)``: paragraph hashes connected by verified pairs, and the smallest of each component."""
     bands, rows = bands_for(similarity, recall)
     dealt = _banded(units, bands, rows).repartition(F.shiftright("key", 16))
-    met = _meetings(dealt.sortWithinPartitions("key", "h1"), reach).distinct()
-    met = cut_lineage(met)
+    found = cut_lineage(_meetings(dealt.sortWithinPartitions("key", "h1"), reach))
+    met = cut_lineage(found.filter("b IS NOT NULL").select("a", "b").distinct())
+    members = found.filter("b IS NULL").select(F.col("bucket").alias("cell"), F.col("a").alias("id"))
+    # Members of a large bucket have met its first.
     wanted = met.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     sets = cut_lineage(_distinct(units).join(wanted, "h1", "left_semi").dropDuplicates(["h1"]))
     both = met.join(sets.select(F.col("h1").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("h1").alias("b"), F.col("shingles").alias("y")), "b"
     )
     shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("s", shared).filter(
+    alike = both.withColumn("s", shared).filter(
         F.col("s") >= similarity * (F.size("x") + F.size("y") - F.col("s"))
     ).select("a", "b")
+    labels = cut_lineage(_components(alike))
+    return labels if members.isEmpty() else _linked_buckets(members, labels, sets, similarity)
 
 
 def occurrences(
@@ -314,8 +410,7 @@ def occurrences(
     path = scratch_path(spark, "paragraphs")
     _units(docs, doc_id, text, least_words, shingle).write.parquet(path)
     units = spark.read.parquet(path)
-    pairs = similar_pairs(units, similarity, recall, reach).select(F.lit(0).alias("level"), "a", "b")
-    labels = component_labels(pairs).select(F.col("id").alias("h1"), "label")
+    labels = similar_components(units, similarity, recall, reach).withColumnRenamed("id", "h1")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
     copies = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     # A class is a component, or the copies of one paragraph that is like no other.

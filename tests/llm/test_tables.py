@@ -259,6 +259,21 @@ def test_paragraphs_of_one_large_group(spark):
     assert {r["doc_id"] for r in rows if not r["removed"]} == set(label.values())
 
 
+def test_large_buckets_lose_no_link(spark):
+    """Paragraphs with a long opening in common share buckets, yet few are alike: the classes are the
+    same whatever the reach, and those of all pairs that share a bucket."""
+    rng = random.Random(5)
+    opening = sentence(rng, 40).rstrip(".").split()
+    texts = []
+    for k in range(250):
+        tail = [f"t{k}x{i}" for i in range(22)]
+        other = [*tail[:16], *(f"o{k}x{i}" for i in range(6))] if k % 2 else [f"o{k}x{i}" for i in range(22)]
+        texts += [" ".join(opening + end) for end in (tail, other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [{tuple(r) for r in paragraphs.occurrences(df, reach=n).collect()} for n in (1, 8, 10_000)]
+    assert len(found[2]) > 200 and found[0] == found[1] == found[2]
+
+
 # Urls -----------------------------------------------------------------------------------------
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
