@@ -5,6 +5,7 @@ import pytest
 
 from bugsieve.operators import cells as ce
 from bugsieve.operators import clustering as cl
+from bugsieve.operators import encoders as en
 from bugsieve.operators import similarity as sm
 from bugsieve.operators import triage as tr
 from bugsieve.session import cut_lineage
@@ -71,3 +72,31 @@ def test_decisions_do_not_compute_the_vectors_twice(spark):
     )
     assert tr.stored_decisions(sparse.mapInArrow(count, sparse.schema)).count() == 40
     assert ran.value == 40
+
+
+def test_tokens_are_counted_where_their_row_lies(spark):
+    rows = spark.createDataFrame([(1, ["b", "a"] * 700 + ["c"]), (2, []), (3, None), (4, ["x"])], "_row int, tokens array<string>")
+    counts = en.term_counts(rows)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 700), (1, "b", 700), (1, "c", 1), (4, "x", 1)]
+
+
+@pytest.mark.parametrize("hot", [0, 1, 3, 10**6])
+def test_hot_terms_do_not_change_vectors(spark, monkeypatch, hot):
+    rows = [(i, [f"w{j}" for j in range(6) if i % (j + 1) == 0] + ["every"]) for i in range(1, 13)]
+    docs = spark.createDataFrame(rows, "defect_id int, tokens array<string>")
+    encoder = en.TfIdfEncoder.fit(docs)
+    monkeypatch.setattr(en, "HOT_TERMS", hot)
+    weight = {r["token"]: (r["term"], r["idf"]) for r in encoder.terms.collect()}
+    for r in encoder.encode(docs).collect():
+        want = sorted((weight[t][0], weight[t][1]) for t in r["tokens"] if weight[t][1])
+        assert r["vector"]["indices"] == [t for t, _ in want]
+        length = sum(w * w for _, w in want) ** 0.5
+        assert r["vector"]["values"] == pytest.approx([w / length for _, w in want])
+
+
+def test_stored_vectors_take_little_room(spark):
+    entries = [{"indices": list(range(i, i + 200)), "values": [0.07] * 200} for i in range(300)]
+    rows = cut_lineage(spark.createDataFrame([(i, v) for i, v in enumerate(entries)], f"id int, vector {en.SPARSE_TYPE}"))
+    size = sum(len(r["c"]) for r in ce.packed(rows, "c", 32 << 20).collect())
+    assert size < 300 * 200 * 8  # the values alone
