@@ -14,6 +14,7 @@ from bugsieve.operators.distributions import severity_distribution
 from bugsieve.operators.encoders import unit_vector
 from bugsieve.operators.numbering import number_rows
 from bugsieve.operators.reports import id_order
+from bugsieve.session import cut_lineage
 
 RECORD_FIELDS = (
     "defect_id", "title", "raw_description", "steps", "expected", "actual", "environment", "logs",
@@ -157,25 +158,30 @@ def critical_nulls(records: DataFrame) -> DataFrame:
 def lowercase_audit(records: DataFrame, column: str = "normalized_text") -> DataFrame:
     """Rows with an upper-case letter and the first three ids among them.
 
-    The ids come from a top-3 of the offending rows, never from a list of all of them.
+    The ids come from a top-3 of the offending rows, never from a list of all of them.  The texts
+    are read, and made, once: their verdicts are stored with the ids.
     """
-    upper = F.col(column).rlike(r"\p{Lu}")
+    marked = cut_lineage(records.select("defect_id", F.col(column).rlike(r"\p{Lu}").alias("_upper")))
     samples = (
-        records.filter(upper).select(F.struct(*id_order(records)).alias("place")).orderBy("place").limit(3)
+        marked.filter("_upper").select(F.struct(*id_order(marked)).alias("place")).orderBy("place").limit(3)
         .agg(F.array_join(F.array_sort(F.collect_list("place"))["defect_id"], ",").alias("samples"))
     )
-    return _counts(records, with_upper=upper).withColumn("samples", samples.scalar())
+    return _counts(marked, with_upper=F.col("_upper")).withColumn("samples", samples.scalar())
 
 
 def artifact_audit(records: DataFrame, column: str = "normalized_text") -> DataFrame:
-    """Rows that still hold special characters, links, markup or addresses."""
+    """Rows that still hold special characters, links, markup or addresses.
+
+    Plain substring tests spare most texts the patterns: a link holds ``://``, an address an ``@``.  Whether all
+    characters are letters and blanks is one possessive run over the text.
+    """
     c = F.col(column)
     return _counts(
         records,
-        special=c.rlike(unicode_pattern(r"[^a-zA-Z\s]")),
-        urls=c.rlike("https?://"),
-        html=c.rlike("<[^>]+>"),
-        emails=c.rlike(unicode_pattern(r"(?<!\S)\S+@\S+\.\S+")),
+        special=~c.rlike(unicode_pattern(r"\A[a-zA-Z\s]*+\z")),
+        urls=c.contains("://") & c.rlike("https?://"),
+        html=c.contains("<") & c.rlike("<[^>]+>"),
+        emails=c.contains("@") & c.rlike(unicode_pattern(r"(?<!\S)\S+@\S+\.\S+")),
     )
 
 

@@ -1,6 +1,7 @@
 """Sources, sinks, report shaping, listings and audits on hand-written rows."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -304,6 +305,32 @@ def test_required_fields_report_absent_columns(spark):
     assert out["defect_id"] == (True, 1) and out["title"] == (True, 0) and out["logs"] == (False, 0)
 
 
+def test_audits_make_the_texts_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    rows = [(f"DEF-{i:05d}", t) for i, t in enumerate(["low", "Up", "also Up", "\u00c9tat", None, "x Y", "z"])]
+    df = spark.createDataFrame(rows, "defect_id string, normalized_text string").mapInArrow(count, "defect_id string, normalized_text string")
+    assert tuple(au.lowercase_audit(df).head()) == (7, 4, "DEF-00001,DEF-00002,DEF-00003")
+    assert ran.value == 7
+
+
+def test_artifact_patterns_meet_few_texts(spark):
+    texts = ["", "plain words", "tab\tand\u2003space\n", "a1", "line\n", "http://", "https://x", "http:/x", "a < b", "a <b>", "<>",
+             "x@y.z", "@y.z", "x@y", "at @ at.x", None, "\U0001f600", "caf\u00e9"]
+    df = spark.createDataFrame([(t,) for t in texts], "normalized_text string")
+    known = [t for t in texts if t is not None]
+    want = (len(texts), *(sum(bool(re.search(p, t)) for t in known) for p in (r"[^a-zA-Z\s]", "https?://", "<[^>]+>", r"\S+@\S+\.\S+")))
+    found = au.artifact_audit(df)
+    assert tuple(found.head()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"Contains(normalized_text#" in plan and probe in plan for probe in (", @)", ", <)", ", ://)"))
+
+
 def test_vector_audits(spark):
     v = spark.createDataFrame(
         [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("x", [float("nan"), 1.0])], "defect_id string, embedding array<double>"
