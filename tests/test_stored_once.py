@@ -100,3 +100,35 @@ def test_stored_vectors_take_little_room(spark):
     rows = cut_lineage(spark.createDataFrame([(i, v) for i, v in enumerate(entries)], f"id int, vector {en.SPARSE_TYPE}"))
     size = sum(len(r["c"]) for r in ce.packed(rows, "c", 32 << 20).collect())
     assert size < 300 * 200 * 8  # the values alone
+
+
+def test_packed_points_go_when_they_are_not_needed(spark, monkeypatch):
+    made, real = [], ce.packed
+    monkeypatch.setattr(ce, "packed", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    cl.density_labels(with_copies(spark), 0.1, 3).collect()
+    kept = []
+    for df in made:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        kept.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+    assert kept == [False, True, False]  # the forest is read lazily
+
+
+def test_noise_is_reassigned_where_rows_are_stored(spark, monkeypatch):
+    rows = with_copies(spark)
+    labelled = cl.density_labels(rows, 0.01, 3)
+    want = sorted(map(tuple, cl.reassign_noise(labelled).select("defect_id", "cluster_id").collect()))
+    stores, real = [], cl.cut_lineage
+    monkeypatch.setattr(cl, "cut_lineage", lambda df: stores.append(df.columns) or real(df))
+    assert sorted(map(tuple, cl.reassign_noise(labelled, stored=True).select("defect_id", "cluster_id").collect())) == want
+    assert not any("vector" in c for c in stores)
+
+
+def test_blocks_that_share_a_task_change_nothing(spark):
+    rows = cut_lineage(frame(spark, clustered(90, dim=4, seed=3), "id", doc).repartition(2))
+    every = ce.packed(rows, "c", 1 << 20, 2, in_place=True).repartition(60).localCheckpoint()
+    found = [
+        ce.map_packed(every, every, lambda q, c: {"n": [q.num_rows * c.num_rows]}, "n long", most) for most in (1, 4)
+    ]
+    assert [sum(r["n"] for r in f.collect()) for f in found] == [90 * 90] * 2
+    assert found[1].rdd.getNumPartitions() < found[0].rdd.getNumPartitions()
