@@ -183,3 +183,13 @@ def test_random_texts_match_the_plain_rules(column):
 
 def test_long_unbroken_run_is_linear(column):
     assert column(["x" * 200_000 + " a@b.cd"], tx.clean) == ["x" * 200_000 + " emailtoken"]
+
+
+def test_rare_characters_are_probed_before_texts_are_translated(spark):
+    texts = ["Straße İıſK END", "PLAIN", "", None, "İabcdef0ı"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select(tx.folded(t), F.lower(F.translate(t, "İıſK", "iisk")))
+    assert all(folded == want for folded, want in got.collect())
+    plan = got.select(got.columns[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(t#") == 4
