@@ -86,6 +86,72 @@ def test_postings_find_what_all_products_find(monkeypatch, min_score, often):
     assert all(abs(s - w) < 2e-9 for i in want for (_, s), (_, w) in zip(got[i], want[i]))
 
 
+def test_every_pair_of_blocks_is_met_in_one_order(spark):
+    rows = frame(spark, clustered(90, dim=4, seed=3), "id", doc)
+
+    def kernel(a, b, same):
+        assert same == (a["id"].to_pylist() == b["id"].to_pylist())
+        pairs = list(itertools.product(a["id"].to_pylist(), b["id"].to_pylist()))
+        return {"a": [x for x, _ in pairs], "b": [y for _, y in pairs]}
+
+    met = [tuple(r) for r in ce.map_pairs_once(rows, kernel, "a string, b string", block_rows=7).collect()]
+    assert len(met) == len(set(met)) < 90 * 90 * 0.6
+    assert {*met, *((y, x) for x, y in met)} == set(itertools.product([doc(i) for i in range(90)], repeat=2))
+
+
+def test_near_duplicates_of_texts_meet_blocks_once(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("every pair of blocks meets twice")
+
+    monkeypatch.setattr(ce, "map_pairs", refuse)
+    m = sparse_matrix(60, np.random.default_rng(3))
+    rows = spark.createDataFrame(pa.table({"defect_id": [doc(i) for i in range(60)], "vector": sparse_rows(m)}))
+    found = sm.near_duplicates(rows, 0.3, 3, block_rows=7)
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+    scores = np.round(m @ m.T, 9)
+    np.fill_diagonal(scores, -1)
+    want = {(doc(i), doc(j)) for i, r in enumerate(scores) for j in np.lexsort((np.arange(60), -r))[:3] if r[j] >= 0.3}
+    assert {(r["query_id"], r["defect_id"]) for r in found.collect()} == want
+
+
+def sparse_matrix(n, rng, dim=60, signs=False):
+    m = rng.random((n, dim)) * (rng.random((n, dim)) < 0.6 / (1 + np.arange(dim) / 6))
+    if signs:
+        m *= rng.choice([-1, 1], size=m.shape)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    m[5:9], m[20] = m[4], 0  # copies, and a row without terms
+    return m
+
+
+@pytest.mark.parametrize("listed", [0, 1, 10**6])
+@pytest.mark.parametrize("signs", [False, True])
+@pytest.mark.parametrize("least", [0.05, 0.5, 0.85])
+def test_rare_postings_find_every_pair_that_reaches_a_score(monkeypatch, listed, signs, least):
+    monkeypatch.setattr(kn.RarePostings, "LISTED", listed)
+    monkeypatch.setattr(kn.RarePostings, "QUERIES", 17)
+    monkeypatch.setattr(kn.RarePostings, "NEAR_POSTINGS", 40)
+    monkeypatch.setattr(kn.RarePostings, "QUERY_CELLS", 150)
+    m = sparse_matrix(150, np.random.default_rng(11), signs=signs)
+    q, c = 1.7 * m[:60], m[40:]  # lengths need not be 1
+    found = list(kn.reaching_pairs(sparse_rows(q), sparse_rows(c), np.full(len(q), least)))
+    got = {(int(i), int(j)): s for row, col, score in found for i, j, s in zip(row, col, score)}
+    scores = np.round(q @ c.T, 9)
+    assert set(got) == {(int(i), int(j)) for i, j in np.argwhere(scores >= least)}
+    assert all(abs(scores[p] - s) < 2e-9 for p, s in got.items())
+    ids = np.array([doc(i) for i in range(150)])
+    sides = [pa.table({"id": x, "vector": sparse_rows(y)}) for x, y in ((ids[:60], q), (ids[40:], c))]
+    both = kn.mutual_top_k(*sides, False, 4, least)
+    apart = [kn.block_top_k(a, b, 4, least) for a, b in (sides, sides[::-1])]
+    mutual = sorted(zip(both["query_id"], both["defect_id"], np.round(both["score"], 8)))
+    assert mutual == sorted(x for p in apart for x in zip(p["query_id"], p["defect_id"], np.round(p["score"], 8)))
+
+
+def test_rare_postings_of_empty_blocks():
+    some, none = sparse_rows(sparse_matrix(30, np.random.default_rng(1))), sparse_rows(np.zeros((3, 4)))
+    for a, b in ((some, none), (none, some), (none, none), (some, some.slice(0, 0)), (some.slice(0, 0), some)):
+        assert not sum(len(row) for row, _, _ in kn.reaching_pairs(a, b, np.full(len(a), 0.5)))
+
+
 def test_spanning_edges_keep_every_component_at_every_level():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 80, (2, 300))
